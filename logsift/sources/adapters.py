@@ -96,10 +96,13 @@ def event_entries(events: DataFrame) -> DataFrame:
         .when(F.col("event_id") % 103 == 0, F.array(time, F.col("text"), F.lit("meta")))
         .otherwise(F.array(time, F.col("text")))
     )
-    return shown.withColumn("text", F.expr(EVENT_LINE)).select(
+    made = F.struct(
         _labels(job, compose_service=service, container_name=container).alias("labels"),
         entry.alias("entry"),
     )
+    # Made by a generator, the line is a plain column for whatever follows; as an expression it
+    # would be written out again in every filter and rule that names it.
+    return shown.withColumn("text", F.expr(EVENT_LINE)).select(F.inline(F.array(made)))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
