@@ -125,6 +125,10 @@ def report_sections(runs: DataFrame, findings: DataFrame) -> DataFrame:
     return filled.select(*columns).unionByName(empty.select(*columns))
 
 
+def _money(amount: Column, pattern: str = "#0.00") -> Column:
+    return F.call_function("format_number", amount, F.lit(pattern))
+
+
 BUDGET_SUMMARY = (
     "Monthly budget exhausted — AI triage skipped this run. Aggregation and history are still"
     " current; no severity classification was performed."
@@ -142,7 +146,6 @@ def report_header(
     minute = "yyyy-MM-dd HH:mm"
     stopped = F.col("exhausted")
     cost = F.when(stopped, F.lit(0.0)).otherwise(F.coalesce("run_cost_usd", F.lit(0.0)))
-    money = "#0.00"
     return (
         runs.filter(F.col("status").isin("completed", "budget_exhausted"))
         .withColumnRenamed("id", "run_id")
@@ -165,11 +168,11 @@ def report_header(
             F.when(stopped, F.lit(BUDGET_SUMMARY)).otherwise(F.col("summary")).alias("summary"),
             F.concat(
                 F.lit("Cost: this run $"),
-                F.format_number(cost, "#0.0000"),
+                _money(cost, "#0.0000"),
                 F.lit(" | month-to-date $"),
-                F.format_number(F.col("spend") + cost, money),
+                _money(F.col("spend") + cost),
                 F.lit(" / $"),
-                F.format_number(F.lit(budget), money),
+                _money(F.lit(float(budget))),
                 F.lit(" budget"),
             ).alias("cost_line"),
         )

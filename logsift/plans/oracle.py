@@ -622,9 +622,9 @@ def all_oracles() -> dict[str, str]:
         on p.template_hash = k.template_hash and p.run_id = k.run_id
       where k.run_id % 5 = 0"""
     q["quote_evidence_check"] = """
-      select f.id, f.run_id, f.template_hash, coalesce(len(list_filter(o.samples, s ->
+      select f.id, f.run_id, f.template_hash, coalesce(len(list_filter(o.samples, lambda s:
           regexp_matches(s, 'SIGINT|SIGTERM|SIGKILL|SIGSEGV|SIGABRT|Received signal|forwarding signal|Out of memory|oom-killer|Killed process|segfault|core dumped|panic:|Shutting down|Stopping worker|Worker \\S+ stopped')
-          and len(list_filter(range(1, length(f.claim) - 18), i -> contains(s, f.claim[i:i + 19]))) > 0)) > 0, false)
+          and len(list_filter(range(1, length(f.claim) - 18), lambda i: contains(s, f.claim[i:i + 19]))) > 0)) > 0, false)
         as has_evidence
       from (select f.*, f.issue || ': ' || h.template_text as claim from finding f join hist h using (template_hash)) f
       left join occ o on o.run_id = f.run_id and o.template_hash = f.template_hash
