@@ -4,16 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-STREAM = T.StructType(
-    [
-        T.StructField("stream", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("values", T.ArrayType(T.ArrayType(T.StringType()))),
-    ]
-)
-STREAM_RESPONSE = T.StructType(
-    [T.StructField("data", T.StructType([T.StructField("result", T.ArrayType(STREAM))]))]
-)
-
 _TEXT, _LONG, _TIME = T.StringType(), T.LongType(), T.TimestampType()
 
 
@@ -21,6 +11,8 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+STREAM = _table(stream=T.MapType(_TEXT, _TEXT), values=T.ArrayType(T.ArrayType(_TEXT)))
+STREAM_RESPONSE = _table(data=_table(result=T.ArrayType(STREAM)))
 LOG_LINE = _table(job=_TEXT, labels=T.MapType(_TEXT, _TEXT), ts_ns=_LONG, line=_TEXT)
 RUN = _table(
     id=_LONG,
@@ -45,6 +37,15 @@ OCCURRENCE = _table(
     window_end=_TIME,
     exemplar_lines=T.ArrayType(_TEXT),
 )
+LOG_TEMPLATE = _table(
+    template_hash=_TEXT,
+    service_name=_TEXT,
+    logger=_TEXT,
+    template_text=_TEXT,
+    first_seen=_TIME,
+    last_seen=_TIME,
+    total_count=_LONG,
+)
 VERDICT_EVENT = _table(
     template_hash=_TEXT, classification=_TEXT, note=_TEXT, set_by=_TEXT, set_at=_TIME
 )

@@ -10,6 +10,7 @@ from logsift.operators.quality import all_checks
 
 SCHEMAS = {
     "run": schemas.RUN,
+    "log_template": schemas.LOG_TEMPLATE,
     "template_occurrence": schemas.OCCURRENCE,
     "verdict_event": schemas.VERDICT_EVENT,
     "finding": schemas.FINDING,
