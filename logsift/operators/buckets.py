@@ -31,12 +31,19 @@ CRITICAL_WORDS = [
 ]
 SYSTEM_WORDS = [r"\berror\b", r"\bfailed\b", r"\bcritical\b", r"\bpanic\b", r"\boom[-_ ]?kill"]
 
+# A part of every word in lower case, to rule out most lines by plain text search. None holds an
+# s, the one letter here with an upper-case partner (the long s) that lower-casing leaves as it is.
+CRITICAL_PARTS = [
+    "fatal", "panic", "egfault", "out of memory", "oom", "core dump", "igkill", "egv", "igabrt",
+]
+SYSTEM_PARTS = ["error", "failed", "critical", "panic", "oom"]
+
 RANK_SLICES = 256
 
 BUCKETS = [name for name, _ in BUCKET_LIMITS]
 
 
-def _any_word(words: list[str]) -> Column:
+def _any_word(words: list[str], parts: list[str]) -> Column:
     """Case-blind search for any of the words; the boundaries here know only ASCII letters."""
     shapes = []
     for word in words:
@@ -46,7 +53,11 @@ def _any_word(words: list[str]) -> Column:
         if shape.endswith(r"\b"):
             shape = shape[:-2] + "(?![0-9A-Za-z_])"
         shapes.append(shape)
-    return F.rlike("line", F.lit("(?iu)" + "|".join(shapes)))
+    lowered = F.lower("line")
+    hinted = F.contains(lowered, F.lit(parts[0]))
+    for part in parts[1:]:
+        hinted = hinted | F.contains(lowered, F.lit(part))
+    return hinted & F.rlike("line", F.lit("(?iu)" + "|".join(shapes)))
 
 
 def _level() -> Column:
@@ -55,7 +66,7 @@ def _level() -> Column:
 
 
 def is_critical_fatal() -> Column:
-    return (F.col("job") == DOCKER_JOB) & _any_word(CRITICAL_WORDS)
+    return (F.col("job") == DOCKER_JOB) & _any_word(CRITICAL_WORDS, CRITICAL_PARTS)
 
 
 def is_error() -> Column:
@@ -67,7 +78,7 @@ def is_warning() -> Column:
 
 
 def is_system_issue() -> Column:
-    return (F.col("job") == SYSTEM_JOB) & _any_word(SYSTEM_WORDS)
+    return (F.col("job") == SYSTEM_JOB) & _any_word(SYSTEM_WORDS, SYSTEM_PARTS)
 
 
 PREDICATES = {
@@ -87,10 +98,10 @@ def tag_buckets(lines: DataFrame) -> DataFrame:
     tagged = lines.withColumn("_level", F.when(F.col("job") == DOCKER_JOB, _level()))
     docker = F.col("job") == DOCKER_JOB
     tests = {
-        "critical_fatal": docker & _any_word(CRITICAL_WORDS),
+        "critical_fatal": docker & _any_word(CRITICAL_WORDS, CRITICAL_PARTS),
         "errors": F.col("_level").isin(ERROR_LEVELS),
         "warnings": F.col("_level").isin(WARNING_LEVELS),
-        "system_issues": (F.col("job") == SYSTEM_JOB) & _any_word(SYSTEM_WORDS),
+        "system_issues": (F.col("job") == SYSTEM_JOB) & _any_word(SYSTEM_WORDS, SYSTEM_PARTS),
     }
     entries = [
         F.when(tests[name], F.struct(F.lit(name).alias("bucket"), F.lit(i).alias("bucket_ord")))

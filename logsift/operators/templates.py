@@ -14,6 +14,9 @@ DEFAULT_EXEMPLARS = 3
 
 IDENTITY = ["service_name", "logger", "template_text"]
 HOUR_NS = 3_600_000_000_000
+# larger than any time in nanoseconds
+ORDER_STEP = "10000000000000000000"
+SAMPLE_SLICES = 32
 
 
 def ns_to_timestamp(column: str) -> Column:
@@ -96,19 +99,20 @@ def aggregate_templates_dedup(lines: DataFrame, by: tuple[str, ...] = ()) -> Dat
 
 
 def _line_groups(lines: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """One row per distinct raw line of a template, with its place in the encounter order."""
+    """One row per distinct raw line of a template, with its place in the encounter order.
+
+    The place is one number, bucket first and then newest, because a number is aggregated in a
+    hash table while a struct would make Spark sort the lines.
+    """
+    bucket = F.col("bucket_ord").cast("decimal(10,0)") * F.lit(ORDER_STEP).cast("decimal(20,0)")
     return lines.groupBy(*by, *IDENTITY, "line").agg(
         F.count("*").alias("copies"),
         F.min("ts_ns").alias("first_ns"),
         F.max("ts_ns").alias("last_ns"),
-        F.min(F.struct("bucket_ord", (-F.col("ts_ns")).alias("age"))).alias("met"),
+        F.min(bucket - F.col("ts_ns").cast("decimal(19,0)")).alias("met"),
     )
 
 
-def _first_met(by: tuple[str, ...]) -> Window:
-    return Window.partitionBy(*by, "template_hash").orderBy("met", "line")
-
-
 def exemplar_lines(
     lines: DataFrame, limit: int = DEFAULT_EXEMPLARS, by: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -119,41 +123,46 @@ def exemplar_lines(
     the rows of a template come together.
     """
     keep = max(limit, 1)
+    first_met = Window.partitionBy(*by, "template_hash").orderBy("met", "line")
     return (
         with_hash(_line_groups(lines, by))
-        .withColumn("position", F.row_number().over(_first_met(by)))
+        .withColumn("position", F.row_number().over(first_met))
         .filter(F.col("position") <= keep)
         .select(*by, "template_hash", F.col("position").cast("bigint"), "line")
     )
 
 
-def collect_exemplars(exemplars: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sample lines as one ordered array per template; at most the exemplar limit each."""
-    ordered = F.sort_array(F.collect_list(F.struct("position", "line")))
-    return exemplars.groupBy(*by, "template_hash").agg(
-        F.transform(ordered, lambda e: e["line"]).alias("exemplar_lines")
-    )
-
-
 def occurrences(lines: DataFrame, exemplars: int = DEFAULT_EXEMPLARS) -> DataFrame:
     """What a run records: one row per template with count, times and sample lines.
 
-    Counts and samples both start from the distinct lines of a template, so the lines are
-    shuffled once.
+    The distinct lines of a template are split into slices by line. Each slice is counted and
+    gives up its first few lines, then the slices of a template are put together. The input is
+    read once, nothing is joined, and no task sees all lines of a hot template.
     """
-    by = ("run_id",)
-    groups = with_hash(_line_groups(lines, by))
-    counts = groups.groupBy(*by, "template_hash", *IDENTITY).agg(
+    keep = max(exemplars, 1)
+    template = ["run_id", *IDENTITY]
+    in_slice = Window.partitionBy(*template, "slice").orderBy("met", "line")
+    first_few = F.when(F.col("place") <= keep, F.struct("met", "line"))
+    slices = (
+        _line_groups(lines, ("run_id",))
+        .withColumn("slice", F.pmod(F.xxhash64("line"), F.lit(SAMPLE_SLICES)))
+        .withColumn("place", F.row_number().over(in_slice))
+        .groupBy(*template, "slice")
+        .agg(
+            F.sum("copies").alias("copies"),
+            F.min("first_ns").alias("first_ns"),
+            F.max("last_ns").alias("last_ns"),
+            F.collect_list(first_few).alias("samples"),
+        )
+    )
+    whole = slices.groupBy(*template).agg(
         F.sum("copies").alias("count"),
         F.min("first_ns").alias("first_ns"),
         F.max("last_ns").alias("last_ns"),
+        F.sort_array(F.flatten(F.collect_list("samples"))).alias("samples"),
     )
-    samples = (
-        groups.withColumn("position", F.row_number().over(_first_met(by)))
-        .filter(F.col("position") <= max(exemplars, 1))
-        .select(*by, "template_hash", "position", "line")
-    )
-    return counts.join(collect_exemplars(samples, by), [*by, "template_hash"])
+    lines_only = F.transform(F.slice("samples", 1, keep), lambda sample: sample["line"])
+    return with_hash(whole.withColumn("exemplar_lines", lines_only).drop("samples"))
 
 
 def placeholder_counts(templates: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from logsift.operators import (
     triage,
 )
 from logsift.plans import jobs
-from logsift.session import configure, fresh_folder
+from logsift.session import configure, fresh_folder, splits
 from logsift.sources import adapters, streams
 from logsift.sources.tables import Tables
 from logsift.streaming import jobs as streaming
@@ -637,8 +637,11 @@ def _check(check: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    path, cores = f"{sf_dir}/events.parquet", spark.sparkContext.defaultParallelism
+    schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if splits(spark, path) < cores:
+        events = events.repartition(cores, "event_id")
     return streams.drop_malformed_entries(adapters.event_entries(events))
 
 

@@ -65,13 +65,23 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+_splits: dict[tuple[str, str], int] = {}
 
-    Text masking is CPU-bound, so a small single-file input would run on one core. A large
+
+def splits(spark: SparkSession, path: str) -> int:
+    """How many splits a scan of the path has; planned once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _splits:
+        _splits[key] = spark.read.parquet(path).rdd.getNumPartitions()
+    return _splits[key]
+
+
+def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A table, with one partition per core if its scan has fewer splits than cores.
+
+    Masking text is CPU-bound, so a small single-file input would run on one core. A large
     input already has more splits than cores and passes through without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if splits(spark, path) >= cores else rows.repartition(cores, *keys)

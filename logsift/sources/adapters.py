@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.cost import estimate_cost
-from logsift.session import spread
+from logsift.session import read_spread
 from logsift.sources.streams import drop_malformed_entries
 
 # 2024-01-01T00:00:00Z, the first day of the events
@@ -106,7 +106,9 @@ def event_entries(events: DataFrame) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_malformed_entries(event_entries(spread(_read(spark, sf_dir, "events"), "event_id")))
+    return drop_malformed_entries(
+        event_entries(read_spread(spark, f"{sf_dir}/events.parquet", "event_id"))
+    )
 
 
 def _text_lines(
@@ -127,7 +129,7 @@ def _text_lines(
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    rows = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
     job = F.when(F.col("doc_id") % 5 == 0, "system").otherwise("docker")
     return _text_lines(
         rows, F.col("text"), F.col("doc_id"), _labels(job, compose_service=F.col("source"))
@@ -136,14 +138,14 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request for each page, then the page's own lines."""
-    rows = spread(_read(spark, sf_dir, "pages"), "page_id")
+    rows = read_spread(spark, f"{sf_dir}/pages.parquet", "page_id")
     text = F.concat(F.lit("GET "), F.col("url"), F.lit(" 200\n"), F.col("html"))
     labels = _labels(F.lit("docker"), container_name=F.lit("web"))
     return _text_lines(rows, text, F.col("page_id"), labels)
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(_read(spark, sf_dir, "conversations"), "conv_id")
+    rows = read_spread(spark, f"{sf_dir}/conversations.parquet", "conv_id", "turn")
     labels = _labels(F.lit("docker"), compose_service=F.lit("chat"), container_name=F.col("role"))
     return _text_lines(rows, F.col("text"), F.col("conv_id") * 10 + F.col("turn"), labels)
 
