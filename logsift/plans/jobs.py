@@ -27,8 +27,14 @@ def bucket_lines(
 def run_occurrences(
     entries: DataFrame, runs: DataFrame, exemplars: int = templates.DEFAULT_EXEMPLARS
 ) -> DataFrame:
-    """The occurrence rows of all runs; only entries within the limits are parsed and masked."""
-    counted = templates.occurrences(normalize_lines(add_logger(entries)), exemplars)
+    """The occurrence rows of all runs; only entries within the limits are parsed and masked.
+
+    What the limits leave is little data but much work per byte. Spark would merge it into few
+    tasks by size, so it is given a fixed number of partitions before it is masked.
+    """
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = entries.repartition(partitions, "run_id", "ts_ns", "line")
+    counted = templates.occurrences(normalize_lines(add_logger(spread)), exemplars)
     windows = runs.select(F.col("id").alias("run_id"), "window_start", "window_end")
     return counted.join(windows, "run_id").select(
         "template_hash",
