@@ -18,12 +18,10 @@ def newest_pending_run(runs: DataFrame) -> DataFrame:
 
 def abandon_superseded(runs: DataFrame) -> DataFrame:
     """The run table with every running run older than the newest one given up."""
-    newest = runs.filter(F.col("status") == "running").agg(F.max("id").alias("_newest"))
-    superseded = (F.col("status") == "running") & (F.col("id") < F.col("_newest"))
-    return (
-        runs.join(F.broadcast(newest))  # one row by construction
-        .withColumn("status", F.when(superseded, F.lit("abandoned")).otherwise(F.col("status")))
-        .drop("_newest")
+    newest = runs.filter(F.col("status") == "running").agg(F.max("id")).scalar()
+    superseded = (F.col("status") == "running") & (F.col("id") < newest)
+    return runs.withColumn(
+        "status", F.when(superseded, F.lit("abandoned")).otherwise(F.col("status"))
     )
 
 

@@ -265,7 +265,7 @@ _CTES["verdicts"] = """
 _CTES["pending"] = """
   select o.template_hash, o.run_id, o."count" as window_count, o.window_start, o.window_end,
     v.classification, v.note, h.service_name, h.logger, h.template_text, h.first_seen, h.last_seen,
-    h.total_count, h.first_seen >= o.window_start as new_this_window, o.exemplar_lines
+    h.total_count, h.first_seen >= o.window_start as new_this_window, o.exemplar_lines, o.samples
   from occ o join hist h on h.template_hash = o.template_hash
   left join verdicts v on v.template_hash = o.template_hash
   where v.classification is null or v.classification <> 'benign'"""
@@ -579,7 +579,7 @@ def all_oracles() -> dict[str, str]:
         case when template_hash[1] = 'd' then 'ignore' else 'watch' end as classification,
         case template_hash[1] when 'a' then 'template_hash' when 'b' then 'template_hash'
           when 'd' then 'classification' end as reason from hist) where reason is not null"""
-    q["pending_templates"] = "select * exclude (exemplar_lines) from pending"
+    q["pending_templates"] = "select * exclude (exemplar_lines, samples) from pending"
     q["select_for_prompt"] = (
         "select run_id, rank, template_hash, new_this_window, window_count from selected_few"
     )
@@ -600,6 +600,14 @@ def all_oracles() -> dict[str, str]:
       logger, template_text as template, window_count as "count", total_count as lifetime_count,
       new_this_window, {rfc3339("first_seen")} as first_seen, {rfc3339("last_seen")} as last_seen,
       exemplar_lines, classification as verdict, note as operator_note from selected"""
+    q["prompt_payload"] = f"""select run_id, {rfc3339("window_start")} as window_start,
+      {rfc3339("window_end")} as window_end, cast(to_json(list({{'template_ref': 't' || rank,
+        'service': service_name, 'logger': logger, 'template': template_text, 'count': window_count,
+        'lifetime_count': total_count, 'new_this_window': new_this_window,
+        'first_seen': {rfc3339("first_seen")}, 'last_seen': {rfc3339("last_seen")},
+        'exemplar_lines': list_transform(samples, lambda s: {masked("s")}),
+        'verdict': classification, 'operator_note': note}} order by rank)) as varchar) as payload
+      from selected group by run_id, window_start, window_end"""
     q["parse_reports"] = "select run_id, summary, total_events, health, n from reports"
     q["failed_reports"] = "select distinct run_id from selected where run_id % 6 = 0"
     q["explode_findings"] = """select run_id, finding_no, template_ref, severity, service, issue, "count",
