@@ -76,8 +76,11 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-# \d, \w and \s of this engine know ASCII only; the data has letters of four languages.
-_WORDS = {r"[\w.\-]": r"[\p{L}\p{M}\p{N}_.\-]", r"\d": r"\p{Nd}"}
+# \b, \d and \w of this engine know ASCII only, but the data has letters of four languages. Digits
+# and path segments name their classes instead. For \b, letters beyond ASCII stand between two
+# underscores while the rules run, so that no boundary is seen next to them.
+_WORDS = {r"[\w.\-]": r"[\p{L}\p{M}\p{N}_.\-\x02]", r"\d": r"\p{Nd}"}
+_LETTERS = r"([\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{1FFF}]+)"
 
 
 def _all_scripts(shape: str) -> str:
@@ -86,9 +89,11 @@ def _all_scripts(shape: str) -> str:
 
 
 def masked(column: str) -> str:
-    sql = column
+    fenced = "_\x02\\1\x02_"
+    sql = f"regexp_replace({column}, {_quote(_LETTERS)}, {_quote(fenced)}, 'g')"
     for shape, replacement in PLAIN_RULES:
         sql = f"regexp_replace({sql}, {_quote(_all_scripts(shape))}, {_quote(replacement)}, 'g')"
+    sql = f"regexp_replace({sql}, '_?\x02_?', '', 'g')"
     return (
         f"replace(replace({sql}, {_quote(PLAIN_RULES[4][1])}, '<IPV6>'),"
         f" {_quote(PLAIN_RULES[6][1])}, '<IPV4>')"
