@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -32,17 +33,27 @@ def _number(token: Column) -> Column:
     return F.when(value <= F.lit(str(LARGEST_REF)).cast("decimal(38,0)"), value)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _expand(token: Column) -> Column:
     dash = F.instr(token, "-")
-    a = _number(F.substring_index(token, "-", 1))
-    b = F.when(dash > 0, _number(F.substring(token, dash + 1, F.length(token))))
-    low, high = F.least(a, b), F.greatest(a, b)
-    span = F.least(high - low, F.lit(MAX_RANGE_SPAN).cast("decimal(38,0)")).cast("int")
-    range_refs = F.transform(
-        F.sequence(F.lit(0), span),
-        lambda i: F.concat(F.lit("t"), (low + i).cast("decimal(38,0)").cast("string")),
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), range_refs).otherwise(F.array(_single(token)))
+    first = _number(F.substring_index(token, "-", 1))
+    second = F.when(dash > 0, _number(F.substring(token, dash + 1, F.length(token))))
+
+    def members(ends: Column) -> Column:
+        low, high = F.least(ends["a"], ends["b"]), F.greatest(ends["a"], ends["b"])
+        span = F.least(high - low, F.lit(MAX_RANGE_SPAN).cast("decimal(38,0)")).cast("int")
+        names = F.transform(
+            F.sequence(F.lit(0), span),
+            lambda i: F.concat(F.lit("t"), (low + i).cast("decimal(38,0)").cast("string")),
+        )
+        is_range = ends["a"].isNotNull() & ends["b"].isNotNull()
+        return F.when(is_range, names).otherwise(F.array(_single(token)))
+
+    return _let(F.struct(first.alias("a"), second.alias("b")), members)
 
 
 def expand_refs(cited: Column) -> Column:

@@ -139,3 +139,22 @@ def all_checks(tables: dict[str, DataFrame]) -> DataFrame:
 def redaction_audit(templates: DataFrame) -> DataFrame:
     """Templates that still show a shape masking should have taken."""
     return templates.withColumn("leaked", F.explode(leaked_shapes(F.col("template_text"))))
+
+
+def redaction_summary(masked: DataFrame) -> DataFrame:
+    """Per audited shape: lines that show it, and templates that still do; one pass over both."""
+
+    def marks(text: str, in_line: int, in_template: int) -> Column:
+        return F.transform(
+            leaked_shapes(F.col(text)),
+            lambda shape: F.struct(
+                shape.alias("leaked"),
+                F.lit(in_line).cast("bigint").alias("lines"),
+                F.lit(in_template).cast("bigint").alias("templates"),
+            ),
+        )
+
+    found = masked.select(F.inline(F.concat(marks("line", 1, 0), marks("template_text", 0, 1))))
+    return found.groupBy("leaked").agg(
+        F.sum("lines").alias("lines"), F.sum("templates").alias("templates")
+    )

@@ -225,20 +225,7 @@ def q_normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of sensitive shapes after masking, and how often lines had them before."""
-    lines = _lines(spark, sf_dir)
-    before = quality.redaction_audit(lines.withColumnRenamed("line", "template_text"))
-    after = quality.redaction_audit(normalize_lines(lines))
-    seen = before.groupBy("leaked").agg(
-        F.count("*").alias("lines"), F.lit(0).cast("bigint").alias("templates")
-    )
-    left = after.groupBy("leaked").agg(
-        F.lit(0).cast("bigint").alias("lines"), F.count("*").alias("templates")
-    )
-    return (
-        seen.unionByName(left)
-        .groupBy("leaked")
-        .agg(F.sum("lines").alias("lines"), F.sum("templates").alias("templates"))
-    )
+    return quality.redaction_summary(normalize_lines(_lines(spark, sf_dir)))
 
 
 def q_placeholder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
