@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import simhash
+from logsift.llm import block_topk, simhash, tile_search
 from logsift.llm.common import table
 
 
@@ -19,9 +19,21 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    return tile_search.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector."""
+    return block_topk.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op6_block_matrix_neighbours": op6_block_matrix_neighbours,
+        "op10_block_top_k": op10_block_top_k,
     }
 
 
