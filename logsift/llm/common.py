@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,11 @@ def word_runs(data: bytes) -> Iterator[list[bytes]]:
         end = cut.end() if cut else len(data)
         yield data[at:end].split()
         at = end
+
+
+def gathered(flat: np.ndarray, offset: np.ndarray, width: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The concatenation of the stored runs that rows name."""
+    sizes = width[rows]
+    ends = np.cumsum(sizes)
+    shift = np.repeat(offset[rows] - (ends - sizes), sizes)
+    return flat[np.arange(ends[-1] if ends.size else 0) + shift]

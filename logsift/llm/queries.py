@@ -2,15 +2,52 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import block_topk, simhash, tile_search
+from logsift.llm import (
+    block_topk,
+    kneser_ney,
+    license_scan,
+    merge_dropout,
+    simhash,
+    tile_search,
+    token_files,
+    trie_counts,
+)
 from logsift.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the public tokenizers, or of LOGSIFT_TOKENIZERS where they differ."""
+    folder = os.environ.get("LOGSIFT_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as the files give them back: place, number, checksum."""
+    docs = table(spark, sf_dir, "documents")
+    path = token_files.write(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path).select(
+        F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32"
+    )
+
+
+def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    counted = trie_counts.token_counts(
+        table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    )
+    return counted.select(F.col("doc").alias("doc_id"), "n_words", "n_tokens")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint over three-word shingles and its component."""
     classes = simhash.near_classes(table(spark, sf_dir, "documents"), shingle=3, tau=3)
@@ -19,11 +56,43 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces under merge-dropout, and whether they decode to its text."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    rows = merge_dropout.decode(merge_dropout.encode(docs, model), model)
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("ids").alias("n_pieces"),
+        "ids",
+        (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op6_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every hundredth vector."""
     return tile_search.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of trusted text, and whether it is kept."""
+    rows = kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("row.lang").alias("lang"),
+        "n_symbols",
+        "perplexity",
+        "score",
+        "limit",
+        "keep",
+    )
+
+
 def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector."""
     return block_topk.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -31,8 +100,13 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
+        "op3_trie_token_counts": op3_trie_token_counts,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_merge_dropout": op5_merge_dropout,
         "op6_block_matrix_neighbours": op6_block_matrix_neighbours,
+        "op7_license_scan": op7_license_scan,
+        "op9_kneser_ney_quality": op9_kneser_ney_quality,
         "op10_block_top_k": op10_block_top_k,
     }
 
