@@ -12,7 +12,9 @@ from logsift.llm import (
     block_topk,
     kneser_ney,
     license_scan,
+    line_spread,
     merge_dropout,
+    mixing,
     simhash,
     tile_search,
     token_files,
@@ -40,6 +42,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand on many sites."""
+    rows = line_spread.without_spread_lines(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "row.doc_id", "row.lang", "row.source", F.col("clean").alias("text"), "n_lines", "n_removed"
+    )
+
+
 def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of every document."""
     counted = trie_counts.token_counts(
@@ -79,6 +89,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    return plan.select(
+        F.col("doc").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("times")).alias("taken"),
+    )
+
+
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the model of trusted text, and whether it is kept."""
     rows = kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -101,15 +123,21 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_line_spread": op2_line_spread,
         "op3_trie_token_counts": op3_trie_token_counts,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_merge_dropout": op5_merge_dropout,
         "op6_block_matrix_neighbours": op6_block_matrix_neighbours,
         "op7_license_scan": op7_license_scan,
+        "op8_pivotal_mix": op8_pivotal_mix,
         "op9_kneser_ney_quality": op9_kneser_ney_quality,
         "op10_block_top_k": op10_block_top_k,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_spread": line_spread.ORACLE.format(
+            docs="documents", min_sites=line_spread.MIN_SITES, copy_share=line_spread.COPY_SHARE
+        ),
+    }
