@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,14 @@ def gathered(flat: np.ndarray, offset: np.ndarray, width: np.ndarray, rows: np.n
     ends = np.cumsum(sizes)
     shift = np.repeat(offset[rows] - (ends - sizes), sizes)
     return flat[np.arange(ends[-1] if ends.size else 0) + shift]
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the words in order as places among them, and the place in
+    that order where each text's words begin, with the end."""
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten()
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of a text
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    begins = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begins

@@ -478,8 +478,8 @@ def near_classes(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
 def one_of_each(
     docs: DataFrame,
     shingle: int = 5,
-    tau: int = 10,
-    tau_both: int | None = 22,
+    tau: int = 12,
+    tau_both: int | None = 23,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -487,7 +487,8 @@ def one_of_each(
 
     Five-word shingles. Texts of similarity 0.8 (shared shingles over all shingles) differ in
     about 15 % of the bits of a fingerprint; linked are those that differ in at most tau of the
-    first 64 and tau_both of 128 bits, where unrelated texts practically never are. Ties of the id
+    first 64 and tau_both of 128 bits, where unrelated texts practically never are. Being an
+    estimate, this finds about three of four pairs at 0.8 and nearly all from 0.9. Ties of the id
     go to the row hash; of rows equal in id and text one stays. Texts without a word are copies of
     each other. All columns are kept.
     """

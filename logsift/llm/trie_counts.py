@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.llm.common import small_batches, word_runs
+from logsift.llm.common import distinct_words, small_batches
 
 # Scores are whole millionths, so that sums are exact and ties are ties.
 UNIT = 1_000_000
@@ -159,36 +160,21 @@ class Counter:
     """Counts words, remembering those it has met."""
 
     def __init__(self, unigrams: Unigrams):
-        self.unigrams, self.known = unigrams, {}
+        self.unigrams = unigrams
+        self.known: dict[str, int] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.known))
-        if new:
-            counts = self.unigrams.counts(["▁" + w.decode("utf-8", "replace") for w in new])
-            self.known.update(zip(new, counts.tolist()))
-
-    def totals(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(words, tokens) of each text."""
+    def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words and the tokens of each text; a null text has none."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        out, runs = [], []
-        for text in texts:
-            data = text.encode()
-            if len(data) > 1 << 20:  # a long one piece by piece, on its own
-                words = tokens = 0
-                for run in word_runs(data):
-                    self.learn(set(run))
-                    words, tokens = words + len(run), tokens + sum(map(self.known.__getitem__, run))
-                    if len(self.known) > REMEMBERED:
-                        self.known = {}
-                out.append((words, tokens))
-            else:
-                runs.append((len(out), data.split()))
-                out.append((0, 0))
-        self.learn(set().union(*(run for _, run in runs)))
-        for i, run in runs:
-            out[i] = (len(run), sum(map(self.known.__getitem__, run)))
-        return out
+        words, order, begins = distinct_words(pc.fill_null(texts, ""))
+        new = [w for w in words if w not in self.known]
+        if new:
+            counts = self.unigrams.counts(["▁" + w for w in new])
+            self.known.update(zip(new, counts.tolist()))
+        tokens = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        ends = np.concatenate([[0], np.cumsum(tokens[order])])[begins]
+        return np.diff(begins), np.diff(ends)
 
 
 def token_counts(
@@ -208,10 +194,9 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(Unigrams(model))
         for batch in batches:
-            found = counter.totals([t.as_py() or "" for t in batch.column("text")])
+            found = counter.totals(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc")] + [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)],
-                schema.names,
+                [batch.column("doc"), *(pa.array(f, pa.int64()) for f in found)], schema.names
             )
 
     return slim.mapInArrow(run, schema)
