@@ -125,6 +125,9 @@ def bucket_limit(
     anything is shuffled, then once more over what the slices kept.
     """
     limits = dict(BUCKET_LIMITS) if limits is None else limits
+    largest = int(tagged.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if max(limits.values()) > largest:
+        raise ValueError(f"limits above {largest} are not pruned before the shuffle; raise that setting")
     order = [F.col("ts_ns").desc(), F.col("job"), F.col("service_name"), F.col("line")]
     group = [*per, "bucket"]
     cap = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
@@ -139,6 +142,17 @@ def bucket_limit(
     return newest(newest(sliced, *group, "_slice").drop("_slice"), *group)
 
 
+def limit_counts(
+    tagged: DataFrame, limits: dict[str, int] | None = None, per: tuple[str, ...] = ("run_id",)
+) -> DataFrame:
+    """How many entries of each bucket its limit keeps and drops."""
+    limits = dict(BUCKET_LIMITS) if limits is None else limits
+    cap = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("bucket")]
+    counted = tagged.groupBy(*per, "bucket").agg(F.count("*").alias("entries"))
+    kept = F.least("entries", F.coalesce(cap, F.lit(0)).cast("bigint"))
+    return counted.select(*per, "bucket", kept.alias("kept"), (F.col("entries") - kept).alias("dropped"))
+
+
 def union_buckets(parts: list[DataFrame]) -> DataFrame:
     """All entries of all buckets; a line found by two of them stays twice."""
     return reduce(lambda a, b: a.unionByName(b), parts)

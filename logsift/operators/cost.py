@@ -42,8 +42,9 @@ def estimate_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFram
 
 
 def month_to_date_spend(calls: DataFrame, as_of: Column) -> DataFrame:
-    """Spend from the start of the calendar month of ``as_of``; zero if there is none."""
-    return calls.filter(F.col("created_at") >= F.date_trunc("month", as_of)).agg(
+    """Spend of the calendar month of ``as_of`` up to that moment; zero if there is none."""
+    month = F.col("created_at") >= F.date_trunc("month", as_of)
+    return calls.filter(month & (F.col("created_at") < as_of)).agg(
         F.coalesce(F.sum("estimated_cost_usd").cast("double"), F.lit(0.0)).alias("spend")
     )
 

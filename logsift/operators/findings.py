@@ -22,6 +22,9 @@ REQUIRED_IN_FINDING = [
     "last_seen",
 ]
 
+# --- fixed values: what a finding of several templates says, around their names ----------------
+GROUPED_BEFORE, GROUPED_AFTER = " (Grouped finding: also covers ", ".)"
+
 
 def _complete(report: Column) -> Column:
     whole = F.lit(True)
@@ -97,9 +100,9 @@ def resolve_refs(findings: DataFrame, refs: DataFrame) -> DataFrame:
     )
     grouped = F.concat(
         F.col("issue"),
-        F.lit(" (Grouped finding: also covers "),
+        F.lit(GROUPED_BEFORE),
         F.array_join("_others", ", "),
-        F.lit(".)"),
+        F.lit(GROUPED_AFTER),
     )
     return (
         findings.join(resolved, ["run_id", "finding_no"], "left")
@@ -215,23 +218,28 @@ def quote_evidence_check(findings: DataFrame, occurrences: DataFrame) -> DataFra
     """Findings that name such a word, and whether they quote a sample line that holds it.
 
     A quote is any 20 characters of the issue that stand in one of the template's sample lines,
-    of which there are a fixed few.
+    of which there are a fixed few. The 20-character pieces of both meet in a join, so the work
+    grows with the lengths of issue and samples, not with their product.
     """
     words = "|".join(EVIDENCE_WORDS)
     claims = findings.filter(F.rlike("issue", F.lit(words)))
-    samples = occurrences.select("run_id", "template_hash", "exemplar_lines")
-    starts = F.sequence(F.lit(1), F.length("issue") - QUOTE_LENGTH + 1)
-    quoted = F.exists(
-        F.filter("exemplar_lines", lambda line: F.rlike(line, F.lit(words))),
-        lambda line: F.exists(
-            starts, lambda i: F.contains(line, F.substring(F.col("issue"), i, F.lit(QUOTE_LENGTH)))
-        ),
-    )
-    return claims.join(samples, ["run_id", "template_hash"], "left").select(
-        "id",
-        "run_id",
-        "template_hash",
-        F.coalesce(
-            F.when(F.length("issue") >= QUOTE_LENGTH, quoted), F.lit(False)
-        ).alias("has_evidence"),
+
+    def pieces(text: str) -> Column:
+        """Its distinct pieces; a text that is shorter has none."""
+        last = F.length(text) - QUOTE_LENGTH + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(
+            F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(QUOTE_LENGTH)))
+        )
+
+    said = claims.select("id", "run_id", "template_hash", F.explode(pieces("issue")).alias("piece"))
+    shown = (
+        occurrences.select("run_id", "template_hash", F.explode("exemplar_lines").alias("sample"))
+        .join(claims.select("run_id", "template_hash").distinct(), ["run_id", "template_hash"], "left_semi")
+        .filter(F.rlike("sample", F.lit(words)))
+        .select("run_id", "template_hash", F.explode(pieces("sample")).alias("piece"))
+    )
+    quoting = said.join(shown, ["run_id", "template_hash", "piece"], "left_semi").select("id").distinct()
+    return claims.join(quoting.withColumn("_found", F.lit(True)), "id", "left").select(
+        "id", "run_id", "template_hash", F.coalesce("_found", F.lit(False)).alias("has_evidence")
     )

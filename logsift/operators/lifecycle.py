@@ -25,13 +25,6 @@ def abandon_superseded(runs: DataFrame) -> DataFrame:
     )
 
 
-def abandoned_count(runs: DataFrame) -> DataFrame:
-    """How many running runs the newest one supersedes."""
-    return runs.filter(F.col("status") == "running").agg(
-        F.greatest(F.count("*") - 1, F.lit(0).cast("bigint")).alias("abandoned")
-    )
-
-
 def run_outcome(
     gate: DataFrame, selected_counts: DataFrame, decoded: DataFrame
 ) -> DataFrame:
@@ -56,15 +49,16 @@ def run_outcome(
     )
 
 
+# --- fixed values: the note on dropped findings, around their number ---------------------------
+DROPPED_BEFORE = "\n\nNote: "
+DROPPED_AFTER = (
+    " finding(s) were dropped because the model cited a template_ref that was not in this"
+    " run's input (see the triage journal)."
+)
+
+
 def _dropped_note(count: Column) -> Column:
-    return F.concat(
-        F.lit("\n\nNote: "),
-        count.cast("string"),
-        F.lit(
-            " finding(s) were dropped because the model cited a template_ref that was not in this"
-            " run's input (see the triage journal)."
-        ),
-    )
+    return F.concat(F.lit(DROPPED_BEFORE), count.cast("string"), F.lit(DROPPED_AFTER))
 
 
 def run_summary(reports: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -129,6 +129,7 @@ def _money(amount: Column, pattern: str = "#0.00") -> Column:
     return F.call_function("format_number", amount, F.lit(pattern))
 
 
+# --- fixed value: the summary of a run that the budget stopped ---------------------------------
 BUDGET_SUMMARY = (
     "Monthly budget exhausted — AI triage skipped this run. Aggregation and history are still"
     " current; no severity classification was performed."
@@ -140,14 +141,18 @@ def report_header(
 ) -> DataFrame:
     """Period, health, events, summary and cost line of every run that sends a report.
 
-    A run stopped by the budget reports unknown health and no events. ``gate`` has run_id, spend
-    and exhausted, ``costs`` run_id and run_cost_usd.
+    A run stopped by the budget reports unknown health and no events; one that sent nothing is
+    completed without a report and has no row. ``gate`` has run_id, spend and exhausted, ``costs``
+    run_id and run_cost_usd.
     """
     minute = "yyyy-MM-dd HH:mm"
     stopped = F.col("exhausted")
     cost = F.when(stopped, F.lit(0.0)).otherwise(F.coalesce("run_cost_usd", F.lit(0.0)))
     return (
-        runs.filter(F.col("status").isin("completed", "budget_exhausted"))
+        runs.filter(
+            (F.col("status") == "budget_exhausted")
+            | ((F.col("status") == "completed") & F.col("health_verdict").isNotNull())
+        )
         .withColumnRenamed("id", "run_id")
         .join(gate.select("run_id", "spend", "exhausted"), "run_id")
         .join(costs, "run_id", "left")

@@ -16,7 +16,6 @@ IDENTITY = ["service_name", "logger", "template_text"]
 HOUR_NS = 3_600_000_000_000
 # larger than any time in nanoseconds
 ORDER_STEP = "10000000000000000000"
-SAMPLE_SLICES = 32
 
 
 def ns_to_timestamp(column: str) -> Column:
@@ -29,9 +28,28 @@ def lookback_window(end: Column, hours: int = DEFAULT_LOOKBACK_HOURS) -> Column:
     return end - F.make_interval(hours=F.lit(hours))
 
 
-def in_window(lines: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    """Lines of one window, start included and end excluded."""
-    return lines.filter((F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns))
+def _floor_div(column: str, unit: int) -> Column:
+    """Integer floor; nanoseconds are too large for the doubles that "/" would give."""
+    return F.expr(f"({column} - pmod({column}, {unit}L)) div {unit}L")
+
+
+def lines_of_runs(lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per (line, run whose window holds it), start included and end excluded.
+
+    Every run counts with its own window from the run table, whenever it started; windows may
+    overlap or leave gaps. A run is listed under each hour of its window and met by the lines of
+    that hour, so the join is one on equal keys; the bounds are checked to the nanosecond after it.
+    """
+    spans = runs.select(
+        F.col("id").alias("run_id"),
+        (F.unix_micros("window_start") * 1000).alias("_start"),
+        (F.unix_micros("window_end") * 1000).alias("_end"),
+    ).filter("_start < _end")
+    spans = spans.withColumn("_last", F.col("_end") - 1)
+    hours = F.sequence(_floor_div("_start", HOUR_NS), _floor_div("_last", HOUR_NS))
+    listed = spans.withColumn("_hour", F.explode(hours)).drop("_last")
+    met = lines.withColumn("_hour", _floor_div("ts_ns", HOUR_NS)).join(listed, "_hour")
+    return met.filter("ts_ns >= _start and ts_ns < _end").drop("_hour", "_start", "_end")
 
 
 def assign_runs(
@@ -135,17 +153,19 @@ def exemplar_lines(
 def occurrences(lines: DataFrame, exemplars: int = DEFAULT_EXEMPLARS) -> DataFrame:
     """What a run records: one row per template with count, times and sample lines.
 
-    The distinct lines of a template are split into slices by line. Each slice is counted and
-    gives up its first few lines, then the slices of a template are put together. The input is
-    read once, nothing is joined, and no task sees all lines of a hot template.
+    The distinct lines of a template are split into slices by line, as many as there are shuffle
+    partitions. Each slice is counted and gives up its first few lines, then the slices of a
+    template are put together. The input is read once, nothing is joined, and no task sees all
+    lines of a hot template.
     """
     keep = max(exemplars, 1)
+    slices_of_template = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     template = ["run_id", *IDENTITY]
     in_slice = Window.partitionBy(*template, "slice").orderBy("met", "line")
     first_few = F.when(F.col("place") <= keep, F.struct("met", "line"))
     slices = (
         _line_groups(lines, ("run_id",))
-        .withColumn("slice", F.pmod(F.xxhash64("line"), F.lit(SAMPLE_SLICES)))
+        .withColumn("slice", F.pmod(F.xxhash64("line"), F.lit(slices_of_template)))
         .withColumn("place", F.row_number().over(in_slice))
         .groupBy(*template, "slice")
         .agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +13,18 @@ from logsift.operators import buckets, cost, findings, history, lifecycle, templ
 from logsift.sources.tables import Tables
 
 
-def bucket_lines(
-    lines: DataFrame,
-    first_end_ns: int,
-    limits: dict[str, int] | None = None,
-    period_hours: int = templates.DEFAULT_LOOKBACK_HOURS,
-    lookback_hours: int = templates.DEFAULT_LOOKBACK_HOURS,
-) -> DataFrame:
-    """The entries every run takes from its window, by bucket and within the bucket's limit."""
-    tagged = buckets.tag_buckets(lines)
-    in_runs = templates.assign_runs(tagged, first_end_ns, period_hours, lookback_hours)
-    return buckets.bucket_limit(add_service(in_runs), limits)
+def run_entries(lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """The bucket entries of every run's own window."""
+    return add_service(templates.lines_of_runs(buckets.tag_buckets(lines), runs))
 
 
 def run_occurrences(
     entries: DataFrame, runs: DataFrame, exemplars: int = templates.DEFAULT_EXEMPLARS
 ) -> DataFrame:
-    """The occurrence rows of all runs; only entries within the limits are parsed and masked.
+    """The occurrence rows of all runs.
 
-    What the limits leave is little data but much work per byte. Spark would merge it into few
-    tasks by size, so it is given a fixed number of partitions before it is masked.
+    Bucket entries are little data but much work per byte. Spark would merge them into few tasks
+    by size, so they are given a fixed number of partitions before they are masked.
     """
     partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = entries.repartition(partitions, "run_id", "ts_ns", "line")
@@ -51,34 +45,137 @@ def run_occurrences(
     )
 
 
-def collect(tables: Tables, lines: DataFrame, runs: DataFrame, first_end_ns: int) -> None:
-    """Record the runs and what occurred in them, then bring the history up to date."""
+def _ids(runs: DataFrame) -> DataFrame:
+    return runs.select(F.col("id").alias("run_id"))
+
+
+def collect(
+    tables: Tables, lines: DataFrame, runs: DataFrame, limits: dict[str, int] | None = None
+) -> None:
+    """Record the runs and what occurred in their windows, then bring the history up to date.
+
+    All bucket entries count. With limits, only the newest entries of a run and bucket do, and how
+    many were kept and dropped is recorded. Repeating a call changes nothing: if a run has been
+    collected before, the history is rebuilt from the occurrences instead of being added to.
+    """
     tables.start_runs(runs)
-    tables.append_occurrences(run_occurrences(bucket_lines(lines, first_end_ns), runs))
-    tables.replace("log_template", history.template_history(tables.read("template_occurrence")))
+    covered = _ids(runs)
+    entries = run_entries(lines, runs)
+    if limits is not None:
+        kept = buckets.bucket_limit(entries, limits)
+        tables.replace_runs("bucket_count", buckets.limit_counts(entries, limits), covered)
+    else:
+        kept = entries
+    seen = tables.recorded_runs("template_occurrence").join(covered, "run_id", "left_semi")
+    again = not seen.isEmpty()
+    tables.append_occurrences(run_occurrences(kept, runs), covered)
+    recorded = tables.read("template_occurrence")
+    if again or not tables.exists("log_template"):
+        tables.replace("log_template", history.template_history(recorded))
+    else:
+        new = history.template_history(recorded.join(covered, "run_id", "left_semi"))
+        tables.replace("log_template", history.merge_templates(tables.read("log_template"), new))
 
 
-def select(tables: Tables, limit: int = triage.DEFAULT_PROMPT_LIMIT) -> DataFrame:
-    """What each run sends for analysis, from the recorded tables."""
-    pending = triage.pending_templates(
-        tables.read("template_occurrence"),
-        tables.read("log_template"),
-        history.current_verdicts(tables.read("verdict_event")),
-    )
-    return tables.replace("prompt_selection", triage.select_for_prompt(pending, limit))
+def claim(tables: Tables) -> DataFrame:
+    """The newest running run, or no row; older running runs are given up in the run table."""
+    runs = tables.read("run")
+    before = runs.select("id", F.col("status").alias("before"))
+    changed = lifecycle.abandon_superseded(runs).join(before, "id").filter("status <> before").drop("before")
+    tables.put_runs(changed)
+    newest = lifecycle.newest_pending_run(tables.read("run"))
+    return tables.read("run").join(newest.select(F.col("run_id").alias("id")), "id", "left_semi")
+
 
+def select(
+    tables: Tables, runs: DataFrame | None = None, limit: int = triage.DEFAULT_PROMPT_LIMIT
+) -> DataFrame:
+    """What each of the runs sends for analysis; all recorded runs if none are named.
+
+    A run's selection is made once. Later verdicts and later history don't change it, so that the
+    names t1, t2, ... of a run keep meaning the templates that were sent.
+    """
+    asked = _ids(tables.read("run") if runs is None else runs)
+    new = asked.join(tables.recorded_runs("prompt_selection"), "run_id", "left_anti")
+    if not new.isEmpty():
+        pending = triage.pending_templates(
+            tables.read("template_occurrence").join(new, "run_id", "left_semi"),
+            tables.read("log_template"),
+            history.current_verdicts(tables.read("verdict_event")),
+        )
+        tables.replace_runs("prompt_selection", triage.select_for_prompt(pending, limit), new)
+    return tables.read("prompt_selection").join(asked, "run_id", "left_semi")
 
-def record_findings(tables: Tables, responses: DataFrame) -> None:
-    """Findings of all reports with their status, and each run's outcome and summary."""
+
+def _status(new: DataFrame, stored: DataFrame, single: bool) -> DataFrame:
+    """One run is compared with the latest other run stored, several with the runs before them."""
+    known = stored.join(new.select("template_hash").distinct(), "template_hash", "left_semi")
+    if single:
+        return findings.status_against(new, known)
+    batch = new.select("run_id").distinct()
+    others = known.join(batch, "run_id", "left_anti").select(*new.columns)
+    ranked = findings.finding_status(others.unionByName(new))
+    return ranked.join(batch, "run_id", "left_semi")
+
+
+def record_findings(
+    tables: Tables,
+    responses: DataFrame,
+    runs: DataFrame | None = None,
+    budget: float = cost.DEFAULT_MONTHLY_BUDGET,
+) -> None:
+    """The findings of these reports with their status, and the outcome of their runs.
+
+    responses: (run_id, response_json). Other runs keep theirs; runs names the runs, if some of
+    them have no response.
+    """
+    every = tables.read("run")
+    covered = (responses if runs is None else _ids(runs)).select("run_id").distinct()
+    mine = every.join(covered.select(F.col("run_id").alias("id")), "id", "left_semi")
     decoded = findings.decode_reports(responses)
     reports = findings.parse_reports(decoded)
-    refs = triage.template_refs(tables.read("prompt_selection"))
-    resolved = findings.resolve_refs(findings.explode_findings(reports), refs)
-    kept = findings.finding_status(findings.kept_findings(resolved))
-    runs = tables.read("run")
-    tables.append_findings(kept, runs, tables.read("log_template"))
-    gate = cost.budget_gate(runs, tables.read("api_call"))
-    sent = tables.read("prompt_selection").groupBy("run_id").agg(F.count("*").alias("sent"))
-    outcomes = lifecycle.run_outcome(gate, sent, decoded)
+    sent = tables.read("prompt_selection").join(covered, "run_id", "left_semi")
+    refs = triage.template_refs(sent)
+    tables.replace_runs(
+        "resolved_finding", findings.resolve_refs(findings.explode_findings(reports), refs), covered
+    )
+    resolved = tables.read("resolved_finding").join(covered, "run_id", "left_semi")
+    kept = findings.kept_findings(resolved)
+    single = len(covered.limit(2).collect()) < 2
+    stored = tables.read("finding").drop("status")
+    tables.append_findings(_status(kept, stored, single), every, tables.read("log_template"), covered)
+    gate = cost.budget_gate(mine, tables.read("api_call"), budget)
+    counts = sent.groupBy("run_id").agg(F.count("*").alias("sent"))
+    outcomes = lifecycle.run_outcome(gate, counts, decoded)
     summaries = lifecycle.run_summary(reports, findings.rejected_findings(resolved))
-    tables.replace("run_result", lifecycle.write_summary(runs, summaries, outcomes))
+    tables.put_runs(lifecycle.write_summary(mine, summaries, outcomes))
+
+
+def analyse(
+    tables: Tables,
+    ask: Callable[[DataFrame], DataFrame],
+    budget: float = cost.DEFAULT_MONTHLY_BUDGET,
+    limit: int = triage.DEFAULT_PROMPT_LIMIT,
+) -> int | None:
+    """One cycle: claim the newest run, give up older ones, check the budget, ask, record.
+
+    ask turns a run's payload into its response, (run_id, response_json). Returns the run, or None
+    if none is waiting. A run over budget or without anything to send is not asked about.
+    """
+    run = claim(tables)
+    found = run.select("id").first()
+    if found is None:
+        return None
+    gate = cost.budget_gate(run, tables.read("api_call"), budget)
+    sent = None if gate.filter("exhausted").count() else select(tables, run, limit)
+    if sent is None or sent.isEmpty():
+        counts = tables.spark.createDataFrame([], "run_id bigint, sent bigint")
+        nothing = tables.spark.createDataFrame([], "run_id bigint, report string")
+        summaries = tables.spark.createDataFrame(
+            [], "run_id bigint, health_verdict string, summary string, total_events bigint"
+        )
+        outcomes = lifecycle.run_outcome(gate, counts, nothing)
+        tables.put_runs(lifecycle.write_summary(run, summaries, outcomes))
+    else:
+        record_findings(tables, ask(triage.prompt_payload(sent)), run, budget)
+    return found["id"]

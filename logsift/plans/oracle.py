@@ -107,6 +107,7 @@ def _json_text(key: str) -> str:
     )
 
 
+# --- fixed values: words of the buckets, and the head of a system line -------------------------
 CRITICAL = (
     r"(?i)(\bfatal\b|\bpanic\b|\bsegfault\b|out of memory|\boom[-_ ]?kill|core dump"
     r"|\bSIGKILL\b|\bSIGSEGV\b|\bSIGABRT\b)"
@@ -211,14 +212,15 @@ _CTES["identified"] = f"select *, {_IDENTITY} from lines"
 _CTES["masked"] = f"select *, {masked('line')} as template_text from identified"
 _HASH = "sha256(service_name || chr(0) || logger || chr(0) || template_text)"
 _CTES["entries"] = f"select *, {_IDENTITY}, {masked('line')} as template_text from tagged"
-_CTES["in_run"] = f"""
-  select *, (ts_ns - {EPOCH_NS}) // {DAY_NS} + 1 as run_id from entries"""
 _CTES["runs"] = """
   select distinct cast(date_diff('day', timestamp '2024-01-01', date_trunc('day', ts)) + 1 as bigint) as id,
     cast(date_trunc('day', ts) as timestamp) as window_start,
     cast(date_trunc('day', ts) as timestamp) + interval 24 hours as window_end,
     cast(date_trunc('day', ts) as timestamp) + interval '24 hours 5 minutes' as started_at
   from events"""
+_CTES["in_run"] = f"""
+  select * from (select *, (ts_ns - {EPOCH_NS}) // {DAY_NS} + 1 as run_id from entries)
+  where run_id in (select id from runs)"""
 
 
 def _limited(limits: dict[str, int]) -> str:
@@ -229,14 +231,13 @@ def _limited(limits: dict[str, int]) -> str:
   where place <= case bucket {cases} end"""
 
 
-FULL_LIMITS = {"critical_fatal": 5000, "errors": 2000, "warnings": 1000, "system_issues": 5000}
+BUCKETS = ["critical_fatal", "errors", "warnings", "system_issues"]
 TIGHT_LIMITS = {"critical_fatal": 8, "errors": 12, "warnings": 5, "system_issues": 20}
-_CTES["limited"] = _limited(FULL_LIMITS)
 _CTES["tightly_limited"] = _limited(TIGHT_LIMITS)
 _CTES["run_counts"] = f"""
   select run_id, service_name, logger, template_text, {_HASH} as template_hash,
     count(*) as "count", min(ts_ns) as first_ns, max(ts_ns) as last_ns
-  from limited group by all"""
+  from in_run group by all"""
 _CTES["run_samples"] = f"""
   select run_id, template_hash, string_agg(line, chr(10) order by place) as exemplar_lines,
     list(line order by place) as samples
@@ -244,7 +245,7 @@ _CTES["run_samples"] = f"""
       order by bucket_ord, ts_ns desc, line) as place
     from (select run_id, {_HASH} as template_hash, line, bucket_ord, ts_ns,
         row_number() over (partition by run_id, service_name, logger, template_text, line
-          order by bucket_ord, ts_ns desc) as copy from limited) where copy = 1)
+          order by bucket_ord, ts_ns desc) as copy from in_run) where copy = 1)
   where place <= 3 group by run_id, template_hash"""
 _CTES["occ"] = f"""
   select c.template_hash, c.run_id, c.service_name, c.logger, c.template_text, c."count",
@@ -388,7 +389,7 @@ _CTES["event_calls"] = _calls(
     "user_id",
     "cast(date_diff('day', timestamp '2024-01-01', date_trunc('day', ts)) + 1 as bigint)",
     "cast(ts as timestamp)",
-    "where event_type = 'purchase'",
+    "",
 )
 _CTES["order_calls"] = _calls(
     "orders", "o_orderkey", "o_custkey", "o_orderkey % 30 + 1", "cast(o_orderdate as timestamp)", ""
@@ -497,14 +498,9 @@ def _audit_sql() -> str:
     )
 
 
-def _event_only(sql: str) -> str:
-    """The same over the lines of the events alone, as a stream reads them."""
-    return sql.replace("from lines", "from event_lines")
-
-
 def all_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
-    raw = "select job, compose_service, container_name, ts_ns, line from event_lines"
+    raw = "select job, compose_service, container_name, ts_ns, line from lines"
     four, nine = EPOCH_NS + 4 * DAY_NS, EPOCH_NS + 13 * DAY_NS
     q["read_log_streams"] = f"{raw} where ts_ns >= {four} and ts_ns < {nine}"
     start = EPOCH_NS + 2 * DAY_NS + DAY_NS // 2
@@ -526,15 +522,32 @@ def all_oracles() -> dict[str, str]:
     q["append_findings"] = "select id, run_id, template_hash, severity, issue, recommendation, status from finding"
     q["append_api_calls"] = "select id, run_id, model, estimated_cost_usd from order_calls"
     q["start_runs"] = "select id, started_at, window_start, window_end, 'running' as status from runs"
-    q["bucket_fallback"] = _event_only(
-        _with("select bucket, job, ts_ns, line from tagged where bucket in ('errors', 'system_issues')")
+    q["bucket_fallback"] = (
+        "select bucket, job, ts_ns, line from tagged where bucket in ('errors', 'system_issues')"
     )
-    for name in FULL_LIMITS:
+    # Entries of events that have no readable time are responses too, and so are those without a line.
+    q["failed_responses"] = """select
+        (select count(*) from events) + (select count(*) from lines) - (select count(*) from event_lines) as responses,
+        (select count(*) from ev_text where t % 50 = 0 and event_id % 97 <> 0)
+        + (select count(*) from lines where ts_ns % 50 = 0)
+        - (select count(*) from event_lines where ts_ns % 50 = 0) as failed"""
+    for name in BUCKETS:
         q[f"bucket_{name}"] = f"select job, ts_ns, line from tagged where bucket = '{name}'"
     q["tag_buckets"] = "select bucket, cast(bucket_ord as bigint) as bucket_ord, job, ts_ns, line from tagged"
     q["union_buckets"] = "select bucket, job, ts_ns, line from tagged"
     q["bucket_counts"] = "select bucket, count(*) as entries from tagged group by bucket"
     q["bucket_limit"] = "select run_id, bucket, job, service_name, ts_ns, line from tightly_limited"
+    caps = " ".join(f"when '{name}' then {limit}" for name, limit in TIGHT_LIMITS.items())
+    q["dropped_counts"] = f"""select run_id, bucket, least(n, case bucket {caps} end) as kept,
+      n - least(n, case bucket {caps} end) as dropped
+      from (select run_id, bucket, count(*) as n from in_run group by run_id, bucket)"""
+    q["lines_of_runs"] = """select r.id as run_id, l.job, count(*) as lines, min(ts_ns) as first_ns,
+      max(ts_ns) as last_ns from (select id,
+        (epoch_us(window_start) - (id % 4 * 3600 + 7 * 60) * 1000000 - 250000) * 1000 as low,
+        (epoch_us(window_end) - (id % 3 * 3600 + id) * 1000000) * 1000 as high from runs) r
+      join lines l on l.ts_ns >= r.low and l.ts_ns < r.high group by r.id, l.job"""
+    q["collect_incremental"] = """select template_hash, service_name, logger, template_text, first_seen,
+      last_seen, total_count from hist"""
     q["time_range_filter"] = f"""select id, created_at, model from event_calls
       where created_at between {FROM} and {TO}"""
     q["suppress_benign"] = """select template_hash, service_name, logger, template_text, first_seen, last_seen,
@@ -542,6 +555,11 @@ def all_oracles() -> dict[str, str]:
       (select template_hash from verdicts where classification = 'benign')"""
     q["normalize_lines"] = "select job, ts_ns, template_text from masked"
     q["redaction_audit"] = _audit_sql()
+    q["redaction_audit_rows"] = " union all ".join(
+        f"select job, ts_ns, line as template_text, '{name}' as leaked from lines"
+        f" where regexp_matches(line, {_quote(_all_scripts(shape))})"
+        for name, shape in AUDITED.items()
+    )
     q["placeholder_counts"] = """select placeholder, count(*) as occurrences from
       (select unnest(regexp_extract_all(template_text,
         '<(?:TIMESTAMP|UUID|MAC|IPV6|IPV4|EMAIL|URL|PATH|SECRET|HEX|PID|NUM)>')) as placeholder from masked)
@@ -554,9 +572,7 @@ def all_oracles() -> dict[str, str]:
     q["service_from_syslog"] = """select service_name, count(*) as lines from identified
       where job = 'system' group by service_name"""
     q["logger_from_json"] = "select job, logger, count(*) as lines from identified group by job, logger"
-    q["template_hash"] = _event_only(
-        _with(f"select ts_ns, service_name, logger, {_HASH} as template_hash from masked")
-    )
+    q["template_hash"] = f"select ts_ns, service_name, logger, {_HASH} as template_hash from masked"
     q["aggregate_templates"] = f"{_COUNTS} from masked group by service_name, logger, template_text"
     q["top_log_shapes"] = (
         q["aggregate_templates"] + ' order by "count" desc, template_hash limit 20'
@@ -632,8 +648,7 @@ def all_oracles() -> dict[str, str]:
       from kept k left join (select k.template_hash, k.run_id, arg_max(l.severity, l.run_id) as severity
         from last_severity k join last_severity l
           on l.template_hash = k.template_hash and l.run_id <> k.run_id group by all) p
-        on p.template_hash = k.template_hash and p.run_id = k.run_id
-      where k.run_id % 5 = 0"""
+        on p.template_hash = k.template_hash and p.run_id = k.run_id"""
     q["quote_evidence_check"] = """
       select f.id, f.run_id, f.template_hash, coalesce(len(list_filter(o.samples, lambda s:
           regexp_matches(s, 'SIGINT|SIGTERM|SIGKILL|SIGSEGV|SIGABRT|Received signal|forwarding signal|Out of memory|oom-killer|Killed process|segfault|core dumped|panic:|Shutting down|Stopping worker|Worker \\S+ stopped')
@@ -643,16 +658,18 @@ def all_oracles() -> dict[str, str]:
       left join occ o on o.run_id = f.run_id and o.template_hash = f.template_hash
       where regexp_matches(f.claim, 'SIGINT|SIGTERM|SIGKILL|SIGSEGV|SIGABRT|Received signal|forwarding signal|Out of memory|oom-killer|Killed process|segfault|core dumped|panic:|Shutting down|Stopping worker|Worker \\S+ stopped')
       """.replace("\\\\", "\\")
-    q["newest_pending_run"] = """select id as run_id, window_start, window_end from runs
-      order by id desc limit 1"""
-    q["abandon_superseded"] = """select id, case when id < (select max(id) from runs) then 'abandoned'
-      else 'running' end as status from runs"""
+    states = """select *, case when id > 24 then 'completed'
+        else (['running', 'completed', 'running', 'failed', 'budget_exhausted'])[id % 5 + 1] end as status from runs"""
+    q["newest_pending_run"] = f"""select id as run_id, window_start, window_end from ({states})
+      where status = 'running' order by id desc limit 1"""
+    q["abandon_superseded"] = f"""select id, case when status = 'running' and id < max(id)
+      filter (where status = 'running') over () then 'abandoned' else status end as status from ({states})"""
     q["run_outcome"] = "select run_id, status from outcome"
     q["run_summary"] = "select run_id, health_verdict, summary, total_events from summaries"
     q["estimate_cost"] = """select id, model, input_tokens, output_tokens, cache_write_tokens,
       cache_read_tokens, estimated_cost_usd from order_calls"""
     q["month_to_date_spend"] = """select coalesce(cast(sum(estimated_cost_usd) as double), 0.0) as spend
-      from event_calls where created_at >= timestamp '2024-01-01'"""
+      from event_calls where created_at >= timestamp '2024-01-01' and created_at < timestamp '2024-01-20 12:00:00'"""
     q["monthly_spend"] = """select cast(date_trunc('month', created_at) as timestamp) as month,
       cast(sum(estimated_cost_usd) as double) as spend from order_calls group by 1"""
     q["budget_gate"] = "select run_id, started_at, spend, exhausted from gate"
@@ -693,7 +710,7 @@ def all_oracles() -> dict[str, str]:
       from run_result r join full_gate g on g.run_id = r.id
       left join (select run_id, cast(sum(estimated_cost_usd) as double) as cost from event_calls group by run_id) c
         on c.run_id = r.id
-      where r.status in ('completed', 'budget_exhausted')"""
+      where r.status = 'budget_exhausted' or (r.status = 'completed' and r.health_verdict is not null)"""
     q["check_domains"] = """
       select 'run' as "table", 'status' as rule, cast(id as varchar) as key from c_run where status = 'done'
       union all select 'run', 'health_verdict', cast(id as varchar) from c_run where health_verdict = 'HIGH'
@@ -726,32 +743,19 @@ def all_oracles() -> dict[str, str]:
         from c_finding where template_hash not in (select template_hash from c_template)
       union all select distinct 'api_call', 'run_id -> run', cast(run_id as varchar)
         from c_call where run_id not in (select id from c_run)"""
-    stream = _event_only(_with(f"{_COUNTS} from entries group by service_name, logger, template_text"))
-    q["stream_occurrence_sink"] = stream
-    new = f"""select service_name, logger, template_text, {_HASH} as template_hash, min(ts_ns) as first_ns
+    q["stream_occurrence_sink"] = f"{_COUNTS} from entries group by service_name, logger, template_text"
+    q["stream_new_templates"] = f"""select service_name, logger, template_text, {_HASH} as template_hash,
+        min(ts_ns) as first_ns
       from entries group by service_name, logger, template_text"""
-    q["stream_new_templates"] = _event_only(_with(new))
-    # A window is given out once the newest entry is an hour past its end.
-    done = "w_end <= (select make_timestamp(max(ts_ns) // 1000) from entries) - interval 1 hour"
-    q["stream_template_counts"] = _event_only(
-        _with(
-            f"""select w as window_start, w_end as window_end, service_name, logger, template_text, {_HASH} as template_hash,
-          count(*) as "count", min(ts_ns) as first_ns, max(ts_ns) as last_ns
-          from (select *, cast(date_trunc('day', make_timestamp(ts_ns // 1000)) as timestamp) as w,
-            cast(date_trunc('day', make_timestamp(ts_ns // 1000)) as timestamp) + interval 24 hours as w_end from entries)
-          where {done} group by w, w_end, service_name, logger, template_text"""
-        )
-    )
+    q["stream_template_counts"] = f"""select w as window_start, w + interval 24 hours as window_end,
+        service_name, logger, template_text, {_HASH} as template_hash,
+        count(*) as "count", min(ts_ns) as first_ns, max(ts_ns) as last_ns
+      from (select *, cast(date_trunc('day', make_timestamp(ts_ns // 1000)) as timestamp) as w from entries)
+      group by w, service_name, logger, template_text"""
     eight = 8 * 3600 * 10**9
-    q["stream_sliding_counts"] = _event_only(
-        _with(
-            f"""select w as window_start, w_end as window_end, template_hash, count(*) as "count",
-          min(ts_ns) as first_ns, max(ts_ns) as last_ns
-          from (select *, {_HASH} as template_hash,
-              make_timestamp((ts_ns // {eight} - back) * {eight} // 1000) as w,
-              make_timestamp((ts_ns // {eight} - back + 3) * {eight} // 1000) as w_end
-            from entries, unnest([0, 1, 2]) as u(back))
-          where {done} group by w, w_end, template_hash"""
-        )
-    )
-    return {name: sql if sql.startswith("with ") else _with(sql) for name, sql in q.items()}
+    q["stream_sliding_counts"] = f"""select w as window_start, w + interval 24 hours as window_end,
+        template_hash, count(*) as "count", min(ts_ns) as first_ns, max(ts_ns) as last_ns
+      from (select *, {_HASH} as template_hash, make_timestamp((ts_ns // {eight} - back) * {eight} // 1000) as w
+        from entries, unnest([0, 1, 2]) as u(back))
+      group by w, template_hash"""
+    return {name: _with(sql) for name, sql in q.items()}

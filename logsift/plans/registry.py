@@ -23,7 +23,7 @@ from logsift.operators import (
     triage,
 )
 from logsift.plans import jobs
-from logsift.session import configure, fresh_folder, splits
+from logsift.session import configure, fresh_folder
 from logsift.sources import adapters, streams
 from logsift.sources.tables import Tables
 from logsift.streaming import jobs as streaming
@@ -50,13 +50,13 @@ def recorded(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _recorded:
         tables = Tables(spark, fresh_folder(spark, "tables"))
-        runs = adapters.daily_runs(spark, sf_dir)
-        jobs.collect(tables, adapters.log_lines(spark, sf_dir), runs, FIRST_END_NS)
+        jobs.collect(tables, adapters.log_lines(spark, sf_dir), adapters.daily_runs(spark, sf_dir))
         tables.append_verdicts(adapters.verdict_events(tables.read("log_template")))
         tables.append_api_calls(adapters.event_calls(spark, sf_dir))
         selected = jobs.select(tables)
-        tables.replace("model_report", adapters.model_reports(selected))
-        jobs.record_findings(tables, tables.read("model_report"))
+        runs = tables.read("run").select(F.col("id").alias("run_id"))
+        responses = tables.replace_runs("model_report", adapters.model_reports(selected), runs)
+        jobs.record_findings(tables, responses, tables.read("run"))
         _recorded[key] = tables
     return _recorded[key]
 
@@ -86,15 +86,35 @@ def _labels_shown(df: DataFrame) -> DataFrame:
 
 
 def q_read_log_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the events as stream responses, then read a range of them back."""
-    folder = fresh_folder(spark, "streams")
-    entries = adapters.event_entries(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    stream = F.struct(F.col("labels").alias("stream"), F.array("entry").alias("values"))
-    entries.select(F.struct(F.array(stream).alias("result")).alias("data")).write.json(folder)
+    """Write all entries as stream responses, then read a range of them back."""
+    folder = _responses(spark, sf_dir, broken=0)
     start = adapters.EPOCH_NS + 4 * DAY_NS
     return _labels_shown(streams.read_log_streams(spark, folder, start, start + 9 * DAY_NS))
 
 
+def _responses(spark: SparkSession, sf_dir: str, broken: int) -> str:
+    """A folder of responses, one for each entry; of every so many events one is cut off."""
+    folder = fresh_folder(spark, "streams")
+    entries = adapters.log_entries(spark, sf_dir)
+    stream = F.struct(F.col("labels").alias("stream"), F.array("entry").alias("values"))
+    whole = F.to_json(F.struct(F.struct(F.array(stream).alias("result")).alias("data")))
+    cut = F.lit(False)
+    if broken:
+        number = F.try_element_at("entry", F.lit(1)).try_cast("bigint")
+        cut = F.coalesce(number % broken == 0, F.lit(False))
+    (
+        entries.select(whole.alias("whole"), cut.alias("cut"))
+        .select(F.expr("if(cut, substring(whole, 1, length(whole) - 2), whole)").alias("value"))
+        .write.text(folder)
+    )
+    return folder
+
+
+def q_failed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses cut off on their way: counted, and without lines."""
+    return streams.failed_responses(spark, _responses(spark, sf_dir, broken=50))
+
+
 def q_read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "lines")
     streams.write_log_lines(_lines(spark, sf_dir), folder)
@@ -123,8 +143,7 @@ def q_assign_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_drop_malformed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = adapters.event_entries(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return _labels_shown(streams.drop_malformed_entries(entries))
+    return _labels_shown(streams.drop_malformed_entries(adapters.log_entries(spark, sf_dir)))
 
 
 def q_append_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +181,7 @@ def q_start_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bucket_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two buckets are there, two are missing."""
     root = fresh_folder(spark, "buckets")
-    lines = adapters.event_lines(spark, sf_dir)
+    lines = _lines(spark, sf_dir)
     for name in ("errors", "system_issues"):
         buckets.bucket(lines, name).write.parquet(f"{root}/{name}")
     found = streams.bucket_fallback(spark, {b: f"{root}/{b}" for b in buckets.BUCKETS})
@@ -199,8 +218,32 @@ def q_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_bucket_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limited = jobs.bucket_lines(_lines(spark, sf_dir), FIRST_END_NS, TIGHT_LIMITS)
-    return limited.select("run_id", "bucket", "job", "service_name", "ts_ns", "line")
+    entries = jobs.run_entries(_lines(spark, sf_dir), adapters.daily_runs(spark, sf_dir))
+    return buckets.bucket_limit(entries, TIGHT_LIMITS).select("run_id", "bucket", "job", "service_name", "ts_ns", "line")
+
+
+def q_dropped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What limits keep and drop of each run and bucket."""
+    entries = jobs.run_entries(_lines(spark, sf_dir), adapters.daily_runs(spark, sf_dir))
+    return buckets.limit_counts(entries, TIGHT_LIMITS)
+
+
+def q_lines_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of runs whose windows have their own starts, overlaps and gaps."""
+    runs = adapters.uneven_runs(spark, sf_dir)
+    met = templates.lines_of_runs(_lines(spark, sf_dir), runs)
+    return met.groupBy("run_id", "job").agg(
+        F.count("*").alias("lines"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")
+    )
+
+
+def q_collect_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history after collecting the runs in three calls, one of them repeated."""
+    tables = Tables(spark, fresh_folder(spark, "incremental"))
+    lines, runs = _lines(spark, sf_dir), adapters.daily_runs(spark, sf_dir)
+    for part in ("id <= 10", "id > 20", "id > 10 and id <= 20", "id > 20"):
+        jobs.collect(tables, lines, runs.filter(part))
+    return tables.read("log_template")
 
 
 def q_time_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +271,12 @@ def q_redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.redaction_summary(normalize_lines(_lines(spark, sf_dir)))
 
 
+def q_redaction_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that would show a sensitive shape if it were taken as a template as it is."""
+    unmasked = _lines(spark, sf_dir).withColumn("template_text", F.col("line"))
+    return quality.redaction_audit(unmasked).select("job", "ts_ns", "template_text", "leaked")
+
+
 def q_placeholder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.placeholder_counts(normalize_lines(_lines(spark, sf_dir)))
 
@@ -252,7 +301,7 @@ def q_logger_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_template_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = templates.templated(adapters.event_lines(spark, sf_dir))
+    lines = templates.templated(_lines(spark, sf_dir))
     digest = template_hash(F.col("service_name"), F.col("logger"), F.col("template_text"))
     return lines.select("ts_ns", "service_name", "logger", digest.alias("template_hash"))
 
@@ -280,8 +329,8 @@ def q_exemplar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = jobs.bucket_lines(_lines(spark, sf_dir), FIRST_END_NS)
-    rows = jobs.run_occurrences(entries, adapters.daily_runs(spark, sf_dir))
+    runs = adapters.daily_runs(spark, sf_dir)
+    rows = jobs.run_occurrences(jobs.run_entries(_lines(spark, sf_dir), runs), runs)
     return rows.withColumn("exemplar_lines", F.array_join("exemplar_lines", "\n"))
 
 
@@ -432,13 +481,9 @@ def q_finding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_status_against(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of every fifth run against all stored ones, later runs included."""
+    """The findings of every run against all stored ones, later runs included."""
     stored = recorded(spark, sf_dir).read("finding").drop("status")
-    again = stored.join(
-        adapters.daily_runs(spark, sf_dir).filter("id % 5 = 0").select(F.col("id").alias("run_id")),
-        "run_id",
-    )
-    rows = findings.status_against(again, stored)
+    rows = findings.status_against(stored, stored)
     return rows.select("id", "run_id", "template_hash", "severity", "status")
 
 
@@ -456,12 +501,11 @@ def q_quote_evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_newest_pending_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.newest_pending_run(recorded(spark, sf_dir).read("run"))
+    return lifecycle.newest_pending_run(adapters.mixed_runs(spark, sf_dir))
 
 
 def q_abandon_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = recorded(spark, sf_dir).read("run")
-    return lifecycle.abandon_superseded(runs).select("id", "status")
+    return lifecycle.abandon_superseded(adapters.mixed_runs(spark, sf_dir)).select("id", "status")
 
 
 def q_run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -526,7 +570,7 @@ def q_new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_run_health_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.run_health_history(recorded(spark, sf_dir).read("run_result"))
+    return reports.run_health_history(recorded(spark, sf_dir).read("run"))
 
 
 def q_severity_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,7 +592,7 @@ def q_report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = tables.read("api_call")
     gate = cost.budget_gate(tables.read("run"), calls)
     return reports.report_header(
-        tables.read("run_result"), gate, cost.run_cost(calls), cost.DEFAULT_MONTHLY_BUDGET
+        tables.read("run"), gate, cost.run_cost(calls), cost.DEFAULT_MONTHLY_BUDGET
     )
 
 
@@ -623,13 +667,8 @@ def _check(check: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
 # --- streams --------------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, cores = f"{sf_dir}/events.parquet", spark.sparkContext.defaultParallelism
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    if splits(spark, path) < cores:
-        events = events.repartition(cores, "event_id")
-    return streams.drop_malformed_entries(adapters.event_entries(events))
+def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.lines_from(adapters.stream_reader(spark, sf_dir))
 
 
 def _finished(query) -> None:
@@ -638,28 +677,29 @@ def _finished(query) -> None:
 
 def q_stream_template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_folder(spark, "stream")
-    result = streaming.stream_template_counts(_event_stream(spark, sf_dir))
+    result = streaming.stream_template_counts(_line_stream(spark, sf_dir))
     _finished(streaming.write_windows(result, f"{root}/out", f"{root}/state"))
-    return spark.read.parquet(f"{root}/out")
+    return streaming.read_windows(spark, f"{root}/out")
 
 
 def q_stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_folder(spark, "stream")
-    result = streaming.stream_sliding_counts(_event_stream(spark, sf_dir), "24 hours", "8 hours")
-    _finished(streaming.write_windows(result, f"{root}/out", f"{root}/state"))
-    return spark.read.parquet(f"{root}/out").drop("service_name", "logger", "template_text")
+    panes = streaming.stream_template_counts(_line_stream(spark, sf_dir), "8 hours")
+    _finished(streaming.write_windows(panes, f"{root}/out", f"{root}/state"))
+    windows = streaming.sliding_counts(streaming.read_windows(spark, f"{root}/out"), 8, 24)
+    return windows.drop("service_name", "logger", "template_text")
 
 
 def q_stream_occurrence_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_folder(spark, "stream")
-    lines = _event_stream(spark, sf_dir)
+    lines = _line_stream(spark, sf_dir)
     _finished(streaming.stream_occurrence_sink(lines, f"{root}/out", f"{root}/state"))
     return streaming.read_batches(spark, f"{root}/out")
 
 
 def q_stream_new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_folder(spark, "stream")
-    lines = _event_stream(spark, sf_dir)
+    lines = _line_stream(spark, sf_dir)
     _finished(streaming.stream_new_templates(lines, f"{root}/out", f"{root}/state"))
     return spark.read.parquet(f"{root}/out").drop("batch_id")
 

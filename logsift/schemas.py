@@ -46,9 +46,43 @@ LOG_TEMPLATE = _table(
     last_seen=_TIME,
     total_count=_LONG,
 )
+BUCKET_COUNT = _table(run_id=_LONG, bucket=_TEXT, kept=_LONG, dropped=_LONG)
 VERDICT_EVENT = _table(
     template_hash=_TEXT, classification=_TEXT, note=_TEXT, set_by=_TEXT, set_at=_TIME
 )
+PROMPT_SELECTION = _table(
+    run_id=_LONG,
+    template_hash=_TEXT,
+    window_count=_LONG,
+    window_start=_TIME,
+    window_end=_TIME,
+    exemplar_lines=T.ArrayType(_TEXT),
+    classification=_TEXT,
+    note=_TEXT,
+    service_name=_TEXT,
+    logger=_TEXT,
+    template_text=_TEXT,
+    first_seen=_TIME,
+    last_seen=_TIME,
+    total_count=_LONG,
+    new_this_window=T.BooleanType(),
+    rank=_LONG,
+)
+MODEL_RESPONSE_ROW = _table(run_id=_LONG, response_json=_TEXT)
+RESOLVED_FINDING = _table(
+    run_id=_LONG,
+    finding_no=_LONG,
+    template_ref=_TEXT,
+    severity=_TEXT,
+    service=_TEXT,
+    issue=_TEXT,
+    count=_LONG,
+    first_seen=_TEXT,
+    last_seen=_TEXT,
+    recommendation=_TEXT,
+    template_hash=_TEXT,
+    issue_text=_TEXT,
+)
 FINDING = _table(
     id=_LONG,
     run_id=_LONG,

@@ -65,23 +65,10 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_splits: dict[tuple[str, str], int] = {}
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows over as many partitions as there are shuffle partitions.
 
-
-def splits(spark: SparkSession, path: str) -> int:
-    """How many splits a scan of the path has; planned once per application."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _splits:
-        _splits[key] = spark.read.parquet(path).rdd.getNumPartitions()
-    return _splits[key]
-
-
-def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """A table, with one partition per core if its scan has fewer splits than cores.
-
-    Masking text is CPU-bound, so a small single-file input would run on one core. A large
-    input already has more splits than cores and passes through without a shuffle.
+    Masking text is CPU-bound, and a table that is one file would be read by one task.
     """
-    rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return rows if splits(spark, path) >= cores else rows.repartition(cores, *keys)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys)

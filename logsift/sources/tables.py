@@ -1,9 +1,19 @@
-"""The persisted tables as folders of parquet files."""
+"""The persisted tables as folders of parquet files.
+
+Every write goes into a version folder of its own. It counts once its entry stands in the table's
+list of versions, one small file that appears as a whole; what a failed write leaves behind is never
+read. Rows of a run replace the run's earlier rows, appended rows come once however often they are
+written, and other tables are replaced as a whole. So any write may be repeated.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift import schemas
 from logsift.operators.quality import all_checks
@@ -15,12 +25,33 @@ SCHEMAS = {
     "verdict_event": schemas.VERDICT_EVENT,
     "finding": schemas.FINDING,
     "api_call": schemas.API_CALL,
+    "bucket_count": schemas.BUCKET_COUNT,
+    "prompt_selection": schemas.PROMPT_SELECTION,
+    "model_report": schemas.MODEL_RESPONSE_ROW,
+    "resolved_finding": schemas.RESOLVED_FINDING,
+}
+# The column that names the run, of tables whose rows are replaced run by run.
+BY_RUN = {
+    "run": "id",
+    "template_occurrence": "run_id",
+    "finding": "run_id",
+    "bucket_count": "run_id",
+    "prompt_selection": "run_id",
+    "model_report": "run_id",
+    "resolved_finding": "run_id",
+}
+# The columns that tell rows apart, of tables that only grow.
+APPENDED = {
+    "api_call": ["id"],
+    "verdict_event": ["template_hash", "classification", "set_by", "set_at"],
 }
-PARTITIONED = {"template_occurrence": "run_id", "finding": "run_id"}
+VERSIONS = T.StructType(
+    [T.StructField("version", T.StringType()), T.StructField("run", T.LongType())]
+)
 
 
 class InvalidBatch(ValueError):
-    """A batch that breaks a rule of its table; nothing of it has been written."""
+    """A batch that breaks a rule of its table; nothing of it has been published."""
 
 
 class Tables:
@@ -30,25 +61,91 @@ class Tables:
         self.spark = spark
         self.root = root
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _data(self, name: str) -> str:
+        return f"{self.root}/{name}/data"
+
+    def _versions(self, name: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(VERSIONS).parquet(f"{self.root}/{name}/versions")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], VERSIONS)
+
+    def _new_version(self, name: str) -> str:
+        """Names of versions sort in the order they were begun."""
+        last = self._versions(name).agg(F.max("version")).first()[0]
+        return f"{int(last.split('-')[0]) + 1 if last else 1:012d}-{uuid.uuid4().hex}"
+
+    def _publish(self, name: str, version: str, runs: DataFrame) -> None:
+        entries = runs.select(F.lit(version).alias("version"), F.col("run").cast("bigint").alias("run"))
+        entries.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/versions")
+
+    def _read_versions(self, name: str, entries: DataFrame, on: list[str]) -> DataFrame:
+        """The rows of the listed versions."""
+        fields = [*SCHEMAS[name].fields, T.StructField("version", T.StringType())]
+        rows = self.spark.read.schema(T.StructType(fields)).parquet(self._data(name))
+        return rows.join(entries, on, "left_semi").select(*SCHEMAS[name].fieldNames())
+
+    def exists(self, name: str) -> bool:
+        return not self._versions(name).isEmpty()
+
+    def recorded_runs(self, name: str) -> DataFrame:
+        """(run_id) of the runs that have been written to a table, also those without rows."""
+        return self._versions(name).select(F.col("run").alias("run_id")).distinct()
 
     def read(self, name: str) -> DataFrame:
-        reader = self.spark.read
-        if name in SCHEMAS:
-            reader = reader.schema(SCHEMAS[name])
-        return reader.parquet(self.path(name))
+        """What has been published; no rows if nothing has."""
+        if not self.exists(name):
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        if name in BY_RUN:
+            key = BY_RUN[name]
+            latest = self._versions(name).groupBy(F.col("run").alias(key)).agg(F.max("version").alias("version"))
+            return self._read_versions(name, latest, [key, "version"])
+        if name in APPENDED:
+            return self._read_versions(name, self._versions(name).select("version"), ["version"])
+        version = self._versions(name).agg(F.max("version")).first()[0]
+        return self._staged(name, version)
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
         """Write a table that is always computed as a whole, and read it back."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            self.path(name)
+        version = self._new_version(name)
+        rows.write.parquet(f"{self._data(name)}/version={version}")
+        self._publish(name, version, self.spark.range(1).select(F.lit(None).alias("run")))
+        return self.read(name)
+
+    def _stage(self, name: str, rows: DataFrame) -> str:
+        """Writes rows by run into a version that is not published yet."""
+        # One task per run would be the bottleneck of a large run, one file per run and task the
+        # bottleneck of the reader; Spark splits or merges the partitions by their size.
+        key, version = BY_RUN[name], self._new_version(name)
+        rows.select(*SCHEMAS[name].fieldNames()).hint("rebalance", key).write.partitionBy(key).parquet(
+            f"{self._data(name)}/version={version}"
         )
+        return version
+
+    def _staged(self, name: str, version: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._data(name)}/version={version}")
+
+    def replace_runs(self, name: str, rows: DataFrame, runs: DataFrame) -> DataFrame:
+        """Rows of the given runs (run_id), in place of all they had; returns the whole table."""
+        version = self._stage(name, rows)
+        self._publish(name, version, runs.select(F.col("run_id").alias("run")).distinct())
         return self.read(name)
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Rows that are not there yet, by the columns that tell them apart."""
+        keys, version = APPENDED[name], self._new_version(name)
+        new = rows.select(*SCHEMAS[name].fieldNames()).dropDuplicates(keys)
+        new.join(self.read(name).select(*keys), keys, "left_anti").write.parquet(
+            f"{self._data(name)}/version={version}"
+        )
+        self._publish(name, version, self.spark.range(1).select(F.lit(None).alias("run")))
+
     def start_runs(self, runs: DataFrame) -> None:
-        """New runs, in status running."""
-        rows = runs.select(
+        """New runs, in status running; runs that are recorded already stay as they are."""
+        known = self.read("run").select("id")
+        rows = runs.join(known, "id", "left_anti").select(
             "id",
             "started_at",
             "window_start",
@@ -58,42 +155,40 @@ class Tables:
             F.lit("running").alias("status"),
             F.lit(None).cast("bigint").alias("total_events"),
         )
-        rows.write.mode("append").parquet(self.path("run"))
-
-    def _replace_runs(self, name: str, rows: DataFrame) -> None:
-        # One task per run would be the bottleneck of a large run, one file per run and task the
-        # bottleneck of the reader; Spark splits or merges the partitions by their size.
-        key = PARTITIONED[name]
-        rows.select(*SCHEMAS[name].fieldNames()).hint("rebalance", key).write.mode(
-            "overwrite"
-        ).option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(self.path(name))
-
-    def append_occurrences(self, rows: DataFrame) -> None:
-        """A run's occurrences, all or nothing; writing the same run again replaces it."""
-        self._replace_runs("template_occurrence", rows)
-
-    def append_findings(self, rows: DataFrame, runs: DataFrame, history: DataFrame) -> None:
-        """A run's findings, all or nothing.
-
-        The batch is written to one side first, so that what is checked is what is published.
+        version = self._stage("run", rows)
+        self._publish("run", version, self._staged("run", version).select(F.col("id").alias("run")))
+
+    def put_runs(self, runs: DataFrame) -> None:
+        """Rows of the run table, each in place of the one its run had."""
+        version = self._stage("run", runs)
+        self._publish("run", version, self._staged("run", version).select(F.col("id").alias("run")))
+
+    def append_occurrences(self, rows: DataFrame, runs: DataFrame | None = None) -> None:
+        """Runs' occurrences, all or nothing; writing the same run again replaces it."""
+        version = self._stage("template_occurrence", rows)
+        written = self._staged("template_occurrence", version).select("run_id")
+        covered = written if runs is None else runs.select("run_id")
+        self._publish("template_occurrence", version, covered.select(F.col("run_id").alias("run")).distinct())
+
+    def append_findings(
+        self, rows: DataFrame, runs: DataFrame, history: DataFrame, covered: DataFrame | None = None
+    ) -> None:
+        """Runs' findings, all or nothing; writing the same run again replaces it.
+
+        What is checked against the rules is what has been written and will be published. covered
+        (run_id) names the runs, if some of them have no finding.
         """
-        staged = f"{self.path('finding')}_staged"
-        rows.select(*SCHEMAS["finding"].fieldNames()).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).parquet(staged)
-        batch = self.spark.read.schema(SCHEMAS["finding"]).parquet(staged)
+        version = self._stage("finding", rows)
+        batch = self._staged("finding", version)
         tables = {"finding": batch, "run": runs, "log_template": history}
         broken = all_checks(tables).filter(F.col("table") == "finding").limit(5).collect()
         if broken:
             raise InvalidBatch("; ".join(f"{r['rule']}: {r['key']}" for r in broken))
-        self._replace_runs("finding", batch)
+        whose = batch.select("run_id") if covered is None else covered.select("run_id")
+        self._publish("finding", version, whose.select(F.col("run_id").alias("run")).distinct())
 
     def append_api_calls(self, rows: DataFrame) -> None:
-        rows.select(*SCHEMAS["api_call"].fieldNames()).write.mode("append").parquet(
-            self.path("api_call")
-        )
+        self.append("api_call", rows)
 
     def append_verdicts(self, rows: DataFrame) -> None:
-        rows.select(*SCHEMAS["verdict_event"].fieldNames()).write.mode("append").parquet(
-            self.path("verdict_event")
-        )
+        self.append("verdict_event", rows)
