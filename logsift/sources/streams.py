@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.schemas import LOG_LINE, STREAM_RESPONSE
 
+BROKEN = "_broken"
+
 JOB_LABEL = "job"
 
 
@@ -39,12 +43,29 @@ def stream_entries(responses: DataFrame) -> DataFrame:
 
 
 def read_log_streams(spark: SparkSession, path: str, start_ns: int, end_ns: int) -> DataFrame:
-    """Log lines with start <= time < end from a folder of JSON responses, one per line."""
-    responses = spark.read.schema(STREAM_RESPONSE).json(path)
-    lines = drop_malformed_entries(stream_entries(responses))
+    """Log lines with start <= time < end from a folder of JSON responses, one per line.
+
+    A response that is cut off or no JSON has no lines; failed_responses counts those.
+    """
+    lines = drop_malformed_entries(stream_entries(_responses(spark, path).filter(F.isnull(BROKEN))))
     return lines.filter((F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns))
 
 
+def _responses(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*STREAM_RESPONSE.fields, T.StructField(BROKEN, T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", BROKEN).json(path)
+
+
+def failed_responses(spark: SparkSession, path: str) -> DataFrame:
+    """How many responses a folder holds, and how many of them could not be read."""
+    # both columns have to be asked for, or Spark doesn't parse the response at all
+    rows = _responses(spark, path).select("data", BROKEN)
+    return rows.agg(
+        F.count(F.coalesce(BROKEN, F.to_json(F.struct("data")))).alias("responses"),
+        F.count(BROKEN).alias("failed"),
+    )
+
+
 DAY_NS = 86_400_000_000_000
 
 
@@ -71,21 +92,35 @@ def read_log_lines(spark: SparkSession, path: str, start_ns: int, end_ns: int) -
     )
 
 
+def folder_state(spark: SparkSession, path: str) -> str:
+    """read, missing or unreadable; looks at the footers of all files of the folder."""
+    try:
+        spark.read.schema(LOG_LINE).parquet(path).count()
+    except AnalysisException as error:
+        return "missing" if error.getCondition() == "PATH_NOT_FOUND" else "unreadable"
+    except (PySparkException, Py4JJavaError):
+        return "unreadable"
+    return "read"
+
+
 def read_or_empty(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of log lines, or no rows if the folder is missing.
+    """A folder of log lines, or no rows if the folder is missing or can't be read.
 
     A bucket that cannot be read contributes nothing and the run goes on.
     """
-    try:
+    if folder_state(spark, path) == "read":
         return spark.read.schema(LOG_LINE).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], LOG_LINE)
+    return spark.createDataFrame([], LOG_LINE)
+
+
+def bucket_states(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(bucket, state): which buckets were read, missing or unreadable."""
+    states = [(name, folder_state(spark, path)) for name, path in paths.items()]
+    return spark.createDataFrame(states, "bucket string, state string")
 
 
 def bucket_fallback(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """All buckets' lines with their bucket name; missing buckets are empty."""
+    """All buckets' lines with their bucket name; missing and unreadable buckets are empty."""
     result = None
     for name, path in paths.items():
         part = read_or_empty(spark, path).withColumn("bucket", F.lit(name))

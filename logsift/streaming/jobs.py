@@ -45,16 +45,30 @@ def _window_counts(stream: DataFrame, window) -> DataFrame:
     )
 
 
-def stream_template_counts(lines: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Templates per day, each day given out once it is complete."""
-    return _window_counts(templated_stream(lines, watermark), F.window("ts", "1 day"))
+def stream_template_counts(
+    lines: DataFrame, every: str = "1 day", watermark: str = "1 hour"
+) -> DataFrame:
+    """Templates per window of fixed length; a window is given out anew whenever it has grown."""
+    return _window_counts(templated_stream(lines, watermark), F.window("ts", every))
 
 
-def stream_sliding_counts(
-    lines: DataFrame, lookback: str = "24 hours", every: str = "1 hour", watermark: str = "1 hour"
-) -> DataFrame:
-    """Templates per lookback window, one window per period, overlapping."""
-    return _window_counts(templated_stream(lines, watermark), F.window("ts", lookback, every))
+def sliding_counts(panes: DataFrame, every_hours: int, lookback_hours: int) -> DataFrame:
+    """Overlapping lookback windows, one for each period, from the counts of single periods.
+
+    A line is counted once, in its pane; only the few rows of a pane are repeated for the windows
+    that hold it.
+    """
+    if lookback_hours % every_hours:
+        raise ValueError("the lookback has to be a multiple of the period")
+    back = F.sequence(F.lit(0), F.lit(lookback_hours // every_hours - 1))
+    hours = F.make_interval(hours=F.col("_back") * every_hours)
+    moved = panes.withColumn("_back", F.explode(back)).withColumn("window_start", F.col("window_start") - hours)
+    keys = ["window_start", "template_hash", *IDENTITY]
+    counts = moved.groupBy(*keys).agg(
+        F.sum("count").alias("count"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns")
+    )
+    end = F.col("window_start") + F.make_interval(hours=F.lit(lookback_hours))
+    return counts.withColumn("window_end", end)
 
 
 def _file_query(spark: SparkSession, result: DataFrame, checkpoint: str):
@@ -64,11 +78,38 @@ def _file_query(spark: SparkSession, result: DataFrame, checkpoint: str):
     )
 
 
+def _write_batch(path: str):
+    """Writes a micro-batch into a partition of its own; a replayed batch replaces it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch_id").parquet(path)
+
+    return write
+
+
 def write_windows(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished windows to a folder of parquet files."""
-    spark = result.sparkSession
-    query = _file_query(spark, result, checkpoint).format("parquet").outputMode("append")
-    return query.start(path)
+    """Writes every window as it stands after each micro-batch; read_windows reads the last state.
+
+    So the windows that are still open when the input ends are there as well.
+    """
+    query = _file_query(result.sparkSession, result, checkpoint).outputMode("update")
+    return query.foreachBatch(_write_batch(path)).start()
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of every window."""
+    values = F.struct("count", "first_ns", "last_ns")
+    keys = ["window_start", "window_end", "template_hash", *IDENTITY]
+    latest = spark.read.parquet(path).groupBy(*keys).agg(F.max_by(values, "batch_id").alias("v"))
+    return latest.select(*keys, "v.*")
+
+
+def compact_windows(spark: SparkSession, path: str, into: str) -> None:
+    """The last states as one table, to start a new folder from when micro-batches have piled up."""
+    latest = read_windows(spark, path).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    latest.write.partitionBy("batch_id").parquet(into)
 
 
 def stream_occurrence_sink(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -52,14 +52,14 @@ def test_sink_equals_batch_and_survives_a_replay(spark):
     assert run("lost_state") == batch
 
 
-def test_windows_come_out_once_complete_and_late_lines_are_dropped(spark):
+def test_windows_equal_the_batch_and_late_lines_are_dropped(spark):
     root = fresh_folder(spark, "test")
 
     def run():
-        result = jobs.stream_template_counts(source(spark, f"{root}/in"), "2 hours")
+        result = jobs.stream_template_counts(source(spark, f"{root}/in"), watermark="2 hours")
         query = jobs.write_windows(result, f"{root}/out", f"{root}/state")
         query.awaitTermination()
-        rows = spark.read.parquet(f"{root}/out").collect()
+        rows = jobs.read_windows(spark, f"{root}/out").collect()
         dropped = sum(
             int(s["numRowsDroppedByWatermark"])
             for p in query.recentProgress
@@ -68,24 +68,28 @@ def test_windows_come_out_once_complete_and_late_lines_are_dropped(spark):
         return sorted((r["window_start"].day, r["count"]) for r in rows), dropped
 
     add(spark, f"{root}/in", [line(h, f"request {h} failed") for h in (1, 2, 3, 23)])
-    assert run() == ([], 0)
+    assert run() == ([(1, 4)], 0)  # the day is still open, and there as it stands
     add(spark, f"{root}/in", [line(25, "request 1 failed"), line(4, "request 2 failed")])
-    # the newest line is one hour into the second day: the first day may still get lines
-    assert run() == ([], 0)
+    assert run() == ([(1, 5), (2, 1)], 0)
     add(spark, f"{root}/in", [line(27, "request 3 failed")])
-    assert run()[0] == [(1, 5)]
+    assert run() == ([(1, 5), (2, 2)], 0)
     add(spark, f"{root}/in", [line(5, "request 9 failed"), line(28, "request 3 failed")])
-    rows, dropped = run()
-    assert rows == [(1, 5)] and dropped == 1
+    assert run() == ([(1, 5), (2, 3)], 1)
+    jobs.compact_windows(spark, f"{root}/out", f"{root}/compact")
+    assert counts(jobs.read_windows(spark, f"{root}/compact")) == counts(jobs.read_windows(spark, f"{root}/out"))
 
 
-def test_sliding_windows_overlap(spark):
+def test_sliding_windows_add_up_their_panes(spark):
     root = fresh_folder(spark, "test")
-    add(spark, f"{root}/in", [line(h, f"request {h} failed") for h in range(0, 60)])
-    result = jobs.stream_sliding_counts(source(spark, f"{root}/in"), "24 hours", "12 hours", "1 hour")
+    add(spark, f"{root}/in", [line(h, f"request {h} failed", h) for h in range(0, 60)])
+    result = jobs.stream_template_counts(source(spark, f"{root}/in"), "12 hours")
     jobs.write_windows(result, f"{root}/out", f"{root}/state").awaitTermination()
-    rows = spark.read.parquet(f"{root}/out").orderBy("window_start").collect()
-    assert [r["count"] for r in rows] == [12, 24, 24, 24]
+    panes = jobs.read_windows(spark, f"{root}/out")
+    assert panes.count() == 5
+    rows = jobs.sliding_counts(panes, 12, 24).orderBy("window_start").collect()
+    assert [r["count"] for r in rows] == [12, 24, 24, 24, 24, 12]
+    assert rows[1]["first_ns"] == START and rows[1]["last_ns"] == START + 23 * HOUR + 23
+    assert all((r["window_end"] - r["window_start"]).total_seconds() == 86400 for r in rows)
 
 
 def test_a_template_is_new_only_once(spark):
