@@ -75,32 +75,46 @@ def bucketed(spark, rows):
     return templates.templated(spark.createDataFrame(data, "bucket_ord int, " + LINES))
 
 
-def event(text):
-    return json.dumps({"logger": "app", "event": text}, separators=(",", ":"))
-
-
-def test_services_never_share_a_template(spark):
-    lines = bucketed(spark, [(1, "docker", s, 10**18, event("worker 1 exited")) for s in ("a", "b")])
-    rows = templates.aggregate_templates(lines).collect()
-    assert len({r["template_hash"] for r in rows}) == 2
-
-
-def test_repeats_collapse_with_count_and_samples(spark):
-    lines = bucketed(
-        spark, [(1, "docker", "a", 10**18 + i, event(f"conn 10.0.0.{i} failed")) for i in (1, 2)]
-    )
-    row = templates.aggregate_templates(lines).first()
-    assert (row["count"], row["first_ns"], row["last_ns"]) == (2, 10**18 + 1, 10**18 + 2)
-    assert templates.exemplar_lines(lines).count() == 2
-
-
-def test_samples_are_limited_distinct_and_in_order(spark):
-    rows = [(1, "docker", "a", i, event(f"retry {i % 4}")) for i in range(8)]
-    rows.append((0, "docker", "a", 0, event("retry 0")))
-    lines = bucketed(spark, rows)
-    two = templates.exemplar_lines(lines, 2).orderBy("position").collect()
-    # bucket order first, then newest
-    assert [r["line"] for r in two] == [event("retry 0"), event("retry 3")]
-    assert templates.exemplar_lines(lines, 0).count() == 1
-    assert templates.aggregate_templates(lines).first()["count"] == 9
-    assert templates.aggregate_templates_dedup(lines).first()["count"] == 8
+def spoken(who, text):
+    return json.dumps({"target": who, "said": text})
+
+
+def test_a_template_belongs_to_one_service_and_logger(spark):
+    """The same words from two services and three loggers are six templates."""
+    rows = [
+        (2, "docker", service, 5, spoken(logger, f"cache miss {n}"))
+        for service in ("north", "south")
+        for logger in ("x", "y", "z")
+        for n in (4, 5)
+    ]
+    found = templates.aggregate_templates(bucketed(spark, rows)).collect()
+    assert len({r["template_hash"] for r in found}) == 6
+    assert {(r["service_name"], r["logger"]) for r in found} == {(a, b) for a in ("north", "south") for b in "xyz"}
+    assert {r["count"] for r in found} == {2}
+
+
+def test_counts_and_times_of_lines_that_differ_in_numbers(spark):
+    times = [900, 100, 500, 300, 700]
+    rows = [(1, "docker", "east", t, spoken("q", f"queue at {t} of 1000")) for t in times]
+    rows.append((1, "docker", "east", 50, spoken("q", "queue empty")))
+    found = {r["template_text"]: r for r in templates.aggregate_templates(bucketed(spark, rows)).collect()}
+    assert len(found) == 2
+    (busy,) = [r for text, r in found.items() if "<NUM>" in text]
+    assert (busy["count"], busy["first_ns"], busy["last_ns"]) == (5, 100, 900)
+
+
+def test_samples_follow_bucket_then_time_then_text(spark):
+    late = [(3, "docker", "west", 10 * n, spoken("q", f"step {n}")) for n in range(1, 6)]
+    early = [(0, "docker", "west", 7, spoken("q", f"step {n}")) for n in (9, 8)]
+    again = [(0, "docker", "west", 7, spoken("q", "step 9"))]
+    lines = bucketed(spark, late + early + again)
+
+    def samples(limit):
+        found = templates.exemplar_lines(lines, limit).orderBy("position").collect()
+        return [json.loads(r["line"])["said"] for r in found]
+
+    assert samples(4) == ["step 8", "step 9", "step 5", "step 4"]
+    assert samples(-1) == ["step 8"]
+    assert len(samples(99)) == 7
+    assert templates.aggregate_templates(lines).first()["count"] == 8
+    assert templates.aggregate_templates_dedup(lines).first()["count"] == 7

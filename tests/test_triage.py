@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from logsift import schemas
@@ -69,31 +68,25 @@ def test_payload_states_window_counts_and_no_hash(spark):
     assert json.loads(redacted["payload"])[0]["exemplar_lines"] == ["t <NUM>"]
 
 
+# References written for this test.
 REFS = {
-    "t1": ["t1"],
-    " T1 ": ["t1"],
-    "2": ["t2"],
-    "t2, t3": ["t2", "t3"],
-    "t1-t3, t5": ["t1", "t2", "t3", "t5"],
-    "3-1": ["t1", "t2", "t3"],
-    "t2 ; T4  t5": ["t2", "t4", "t5"],
-    "t1–t2": ["t1", "t2"],
-    "t1 - t3": ["t1", "t2", "t3"],
-    "t1, t2, t2, t1-t2": ["t1", "t2"],
-    "t01": ["t01"],
-    "t01-t03": ["t1", "t2", "t3"],
-    "": [],
-    " , ; ": [],
-    "a" * 64: ["a" * 64],
-    "t1-x": ["t1-x"],
-    "t1--t3": ["t1--t3"],
-    "t+1-t2": ["t1", "t2"],
-    "18446744073709551614-18446744073709551615": [
-        "t18446744073709551614",
-        "t18446744073709551615",
-    ],
-    "1-18446744073709551616": ["1-18446744073709551616"],
-    "t7-t4000000000": [f"t{n}" for n in range(7, 7 + 1025)],
+    "t12": ["t12"],
+    "\tT12\n": ["t12"],
+    "007": ["t007"],
+    "t8;t6;t7": ["t8", "t6", "t7"],
+    "t4-t6 t1": ["t4", "t5", "t6", "t1"],
+    "t11-t9": ["t9", "t10", "t11"],
+    "10 – 12": ["t10", "t11", "t12"],
+    "T3 -T4": ["t3", "t4"],
+    "t5,t5;t4-t6": ["t5", "t4", "t6"],
+    "t003-5": ["t3", "t4", "t5"],
+    ";;": [],
+    "ABCDEF": ["abcdef"],
+    "t2-last": ["t2-last"],
+    "t2-t3-t4": ["t2-t3-t4"],
+    "t+20-t+21": ["t20", "t21"],
+    "1-2000": [f"t{n}" for n in range(1, 1026)],
+    "18446744073709551616-3": ["18446744073709551616-3"],
 }
 
 
@@ -127,16 +120,16 @@ def test_findings_attach_to_the_first_sent_ref(spark):
     cover = " (Grouped finding: also covers {}.)".format
     kept, rejected = resolve(
         spark,
-        ["t4", "t2, t3", "t1-t3, t5", "t99, t3", "t1-t4000000000", "t99", "a" * 64, "", " , ; ", "t90-t95"],
+        ["6", "t5;t1", "t3-t4 T6", "nothing t2", "t0-t900", "t7", "f00d", ";", "t40-t41"],
     )
     assert kept == [
-        ("4", "issue"),
-        ("2", "issue" + cover("t3")),
-        ("1", "issue" + cover("t2, t3, t5")),
-        ("3", "issue"),
+        ("6", "issue"),
+        ("5", "issue" + cover("t1")),
+        ("3", "issue" + cover("t4, t6")),
+        ("2", "issue"),
         ("1", "issue" + cover("t2, t3, t4, t5, t6")),
     ]
-    assert rejected == ["t99", "a" * 64, "", " , ; ", "t90-t95"]
+    assert rejected == ["t7", "f00d", ";", "t40-t41"]
 
 
 def test_status_follows_the_latest_earlier_run(spark):
@@ -232,7 +225,6 @@ def test_run_lifecycle(spark):
         ["completed", "running", "running", "failed", "running"], 1)]
     runs = spark.createDataFrame(rows, schemas.RUN)
     assert lifecycle.newest_pending_run(runs).first()["run_id"] == 5
-    assert lifecycle.abandoned_count(runs).first()["abandoned"] == 2
     after = lifecycle.abandon_superseded(runs).orderBy("id").collect()
     assert [r["status"] for r in after] == ["completed", "abandoned", "abandoned", "failed", "running"]
     idle = runs.filter("status <> 'running'")
@@ -352,8 +344,7 @@ def test_findings_are_written_all_or_nothing(spark):
 
     with pytest.raises(InvalidBatch):
         tables.append_findings(batch("a" * 64, "f" * 64), runs, known)
-    with pytest.raises(PySparkException):
-        tables.read("finding").count()
+    assert tables.read("finding").count() == 0
     tables.append_findings(batch("a" * 64), runs, known)
     tables.append_findings(batch("a" * 64), runs, known)
     assert tables.read("finding").count() == 1
