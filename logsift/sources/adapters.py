@@ -59,27 +59,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-Reader = Callable[..., DataFrame]
+Reader = Callable[[str], DataFrame]
 
 
 def batch_reader(spark: SparkSession, sf_dir: str) -> Reader:
-    """Reads a table by its name, spread by its key columns."""
-    return lambda name, *keys: spread(_read(spark, sf_dir, name), *keys)
+    """Reads a table by its name."""
+    return lambda name: _read(spark, sf_dir, name)
 
 
 def stream_reader(spark: SparkSession, sf_dir: str) -> Reader:
     """The same as a stream over the table's files."""
 
-    def read(name: str, *keys: str) -> DataFrame:
+    def read(name: str) -> DataFrame:
         table = _read(spark, sf_dir, name)
         stream = spark.readStream.schema(table.schema)
         single = table.inputFiles()[0].endswith(f"/{name}.parquet")
-        rows = (
-            stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-            if single
-            else stream.parquet(f"{sf_dir}/{name}.parquet")
-        )
-        return spread(rows, *keys)
+        if single:
+            return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        return stream.parquet(f"{sf_dir}/{name}.parquet")
 
     return read
 
@@ -133,7 +130,7 @@ def event_entries(events: DataFrame) -> DataFrame:
 
 
 def event_lines(read: Reader) -> DataFrame:
-    return drop_malformed_entries(event_entries(read("events", "event_id")))
+    return drop_malformed_entries(event_entries(read("events")))
 
 
 def _text_lines(
@@ -154,7 +151,7 @@ def _text_lines(
 
 
 def document_lines(read: Reader) -> DataFrame:
-    rows = read("documents", "doc_id")
+    rows = read("documents")
     job = F.when(F.col("doc_id") % 5 == 0, "system").otherwise("docker")
     return _text_lines(
         rows, F.col("text"), F.col("doc_id"), _labels(job, compose_service=F.col("source"))
@@ -163,14 +160,14 @@ def document_lines(read: Reader) -> DataFrame:
 
 def page_lines(read: Reader) -> DataFrame:
     """The request for each page, then the page's own lines."""
-    rows = read("pages", "page_id")
+    rows = read("pages")
     text = F.concat(F.lit("GET "), F.col("url"), F.lit(" 200\n"), F.col("html"))
     labels = _labels(F.lit("docker"), container_name=F.lit("web"))
     return _text_lines(rows, text, F.col("page_id"), labels)
 
 
 def conversation_lines(read: Reader) -> DataFrame:
-    rows = read("conversations", "conv_id", "turn")
+    rows = read("conversations")
     labels = _labels(F.lit("docker"), compose_service=F.lit("chat"), container_name=F.col("role"))
     return _text_lines(rows, F.col("text"), F.col("conv_id") * 10 + F.col("turn"), labels)
 
@@ -180,8 +177,11 @@ def _other_lines(read: Reader) -> DataFrame:
 
 
 def lines_from(read: Reader) -> DataFrame:
-    """All lines of all four tables."""
-    return event_lines(read).unionByName(_other_lines(read))
+    """All lines of all four tables.
+
+    Spread after the union, so that what follows is planned and compiled once, not per table.
+    """
+    return spread(event_lines(read).unionByName(_other_lines(read)), "ts_ns", "line")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = batch_reader(spark, sf_dir)
     entry = F.array(F.col("ts_ns").cast("string"), F.col("line"))
     others = _other_lines(read).select("labels", entry.alias("entry"))
-    return event_entries(read("events", "event_id")).unionByName(others)
+    return event_entries(read("events")).unionByName(others)
 
 
 def daily_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

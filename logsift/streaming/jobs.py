@@ -124,9 +124,7 @@ def stream_occurrence_sink(lines: DataFrame, path: str, checkpoint: str) -> Stre
             F.min("ts_ns").alias("first_ns"),
             F.max("ts_ns").alias("last_ns"),
         )
-        with_hash(counts).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(path)
+        _write_batch(path)(with_hash(counts), batch_id)
 
     stream = templated(tag_buckets(lines))
     return (
@@ -134,6 +132,12 @@ def stream_occurrence_sink(lines: DataFrame, path: str, checkpoint: str) -> Stre
     )
 
 
+def compact_batches(spark: SparkSession, path: str, into: str) -> None:
+    """The totals so far as one table, to start a new folder from when micro-batches have piled up."""
+    totals = read_batches(spark, path).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    totals.write.partitionBy("batch_id").parquet(into)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Totals over all micro-batches written so far."""
     return spark.read.parquet(path).groupBy("template_hash", *IDENTITY).agg(
@@ -143,31 +147,23 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-NEW_TEMPLATE = "template_hash string, batch_id bigint"
-
-
-def stream_new_templates(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_new_templates(
+    lines: DataFrame, path: str, checkpoint: str
+) -> StreamingQuery:
     """Give out a template in the first micro-batch it is seen in, and never again.
 
-    What is known is a table, not operator state, so memory does not grow with the number of
-    templates ever seen. A replayed batch looks only at what other batches wrote.
+    What is known is state on disk, one small row for each template; nothing that was given out is
+    read again. A template is new if the micro-batch it was first met in is the one it was last met
+    in; a replayed batch has the time of its first attempt.
     """
-    spark = lines.sparkSession
+    met = templated(tag_buckets(lines)).withColumn("met", F.current_timestamp())
+    seen = met.groupBy(*IDENTITY).agg(
+        F.min("ts_ns").alias("first_ns"), F.min("met").alias("first_met"), F.max("met").alias("last_met")
+    )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        seen = with_hash(batch.groupBy(*IDENTITY).agg(F.min("ts_ns").alias("first_ns")))
-        if batch_id > 0:
-            known = (
-                session.read.schema(NEW_TEMPLATE)
-                .parquet(path)
-                .filter(F.col("batch_id") < batch_id)
-                .select("template_hash")
-            )
-            seen = seen.join(known, "template_hash", "left_anti")
-        seen.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(path)
+        new = batch.filter("first_met = last_met").drop("first_met", "last_met")
+        _write_batch(path)(with_hash(new), batch_id)
 
-    stream = templated(tag_buckets(lines))
-    return _file_query(spark, stream, checkpoint).foreachBatch(write_batch).start()
+    query = _file_query(lines.sparkSession, seen, checkpoint).outputMode("update")
+    return query.foreachBatch(write_batch).start()

@@ -50,6 +50,8 @@ def test_sink_equals_batch_and_survives_a_replay(spark):
     assert len(os.listdir(f"{root}/out")) > 2
     # without its checkpoint the stream starts over; the same batches replace themselves
     assert run("lost_state") == batch
+    jobs.compact_batches(spark, f"{root}/out", f"{root}/compact")
+    assert counts(jobs.read_batches(spark, f"{root}/compact")) == batch
 
 
 def test_windows_equal_the_batch_and_late_lines_are_dropped(spark):
