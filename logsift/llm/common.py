@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -30,6 +31,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def give_back_memory() -> None:
+    """Returns what a task has freed to the system: its worker goes on to other tasks or waits."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def written(rows: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the folder all executors share; cuts lineage, survives lost executors."""
     path = fresh_folder(rows.sparkSession, label)
@@ -74,6 +83,6 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten()
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of a text
-    coded = words.filter(pa.array(full)).dictionary_encode()
+    coded = (words if full.all() else words.filter(pa.array(full))).dictionary_encode()
     begins = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begins

@@ -37,7 +37,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as the files give them back: place, number, checksum."""
     docs = table(spark, sf_dir, "documents")
     path = token_files.write(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    return token_files.read(spark, path).select(
+    return token_files.read(spark, path, with_ids=False).select(
         F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32"
     )
 
