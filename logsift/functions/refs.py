@@ -38,14 +38,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _expand(token: Column) -> Column:
+def _expand(token: Column, span_limit: int) -> Column:
     dash = F.instr(token, "-")
     first = _number(F.substring_index(token, "-", 1))
     second = F.when(dash > 0, _number(F.substring(token, dash + 1, F.length(token))))
 
     def members(ends: Column) -> Column:
         low, high = F.least(ends["a"], ends["b"]), F.greatest(ends["a"], ends["b"])
-        span = F.least(high - low, F.lit(MAX_RANGE_SPAN).cast("decimal(38,0)")).cast("int")
+        span = F.least(high - low, F.lit(span_limit).cast("decimal(38,0)")).cast("int")
         names = F.transform(
             F.sequence(F.lit(0), span),
             lambda i: F.concat(F.lit("t"), (low + i).cast("decimal(38,0)").cast("string")),
@@ -56,13 +56,13 @@ def _expand(token: Column) -> Column:
     return _let(F.struct(first.alias("a"), second.alias("b")), members)
 
 
-def expand_refs(cited: Column) -> Column:
+def expand_refs(cited: Column, span_limit: int = MAX_RANGE_SPAN) -> Column:
     """All references a text cites, in cited order and without repeats.
 
     Lists are separated by commas, semicolons or white space. A range may run either way, with
-    a hyphen or en dash, spaces around it allowed; it ends at most 1024 past its lower end. A
+    a hyphen or en dash, spaces around it allowed; it ends at most span_limit past its lower end. A
     token that is neither is kept, so that it fails the look-up like any unknown reference.
     """
     dashed = F.regexp_replace(F.replace(cited, F.lit(EN_DASH), F.lit("-")), " *- *", "-")
     tokens = F.filter(F.split(dashed, r"(?U)[,;\s]+"), lambda t: t != "")
-    return F.array_distinct(F.flatten(F.transform(tokens, _expand)))
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda token: _expand(token, span_limit))))

@@ -32,25 +32,29 @@ def findings_by_severity(findings: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _short_template() -> Column:
-    return F.left("template_text", F.lit(TEMPLATE_WIDTH)).alias("template")
+def _short_template(width: int) -> Column:
+    return F.left("template_text", F.lit(width)).alias("template")
 
 
-def top_recurring_templates(history: DataFrame, limit: int = TOP_RECURRING) -> DataFrame:
+def top_recurring_templates(
+    history: DataFrame, limit: int = TOP_RECURRING, width: int = TEMPLATE_WIDTH
+) -> DataFrame:
     """The most frequent templates; the hash breaks ties."""
     return (
         history.orderBy(F.col("total_count").desc(), "template_hash")
         .limit(limit)
-        .select("service_name", "logger", _short_template(), "total_count", "last_seen")
+        .select("service_name", "logger", _short_template(width), "total_count", "last_seen")
     )
 
 
-def new_templates(history: DataFrame, limit: int = NEW_TEMPLATES) -> DataFrame:
+def new_templates(
+    history: DataFrame, limit: int = NEW_TEMPLATES, width: int = TEMPLATE_WIDTH
+) -> DataFrame:
     """The templates first seen last; the hash breaks ties."""
     return (
         history.orderBy(F.col("first_seen").desc(), "template_hash")
         .limit(limit)
-        .select("service_name", "logger", _short_template(), "first_seen")
+        .select("service_name", "logger", _short_template(width), "first_seen")
     )
 
 
@@ -77,15 +81,15 @@ def severity_sections(runs: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def condensed_sections(findings: DataFrame) -> DataFrame:
-    """LOW and INFO findings as a report shows them: the first ten, and how many more."""
+def condensed_sections(findings: DataFrame, limit: int = CONDENSED_SHOWN) -> DataFrame:
+    """LOW and INFO findings as a report shows them: the first few, and how many more."""
     low = findings.filter(F.col("severity").isin(CONDENSED))
     order = Window.partitionBy("run_id", "severity").orderBy("id")
     shown = low.withColumn("position", F.row_number().over(order).cast("bigint")).filter(
-        F.col("position") <= CONDENSED_SHOWN
+        F.col("position") <= limit
     )
     more = low.groupBy("run_id", "severity").agg(
-        F.greatest(F.count("*") - CONDENSED_SHOWN, F.lit(0).cast("bigint")).alias("more")
+        F.greatest(F.count("*") - limit, F.lit(0).cast("bigint")).alias("more")
     )
     return shown.join(more, ["run_id", "severity"]).select(
         "run_id", "severity", "position", "issue", "more"
