@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.llm.common import gathered, small_batches
+from logsift.llm.common import gathered, give_back_memory, small_batches
 
 # Chunks that no piece reaches over can be merged on their own: spaces with the Latin letters
 # and digits or with the other characters after them, and line ends. Models whose pieces mix the two kinds get the
@@ -352,6 +352,8 @@ def encode(
         for names, texts in parts:
             rows = [(n, t or "") for n, t in zip(names, texts)]
             yield pd.Series(encoder.encode(rows), dtype=object)
+        del encoder
+        give_back_memory()
 
     # annotations of this module are strings; Spark reads them to tell the kind of function
     work.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.llm.common import row_keys, small_batches, word_runs, written
+from logsift.llm.common import give_back_memory, row_keys, small_batches, word_runs, written
 from logsift.llm.components import components
 
 BITS = 64
@@ -109,6 +109,7 @@ def fingerprints(
                 + [pa.array(np.ascontiguousarray(signed[:, j])) for j in (0, 1)],
                 ["doc", "k1", "k2", "fp", "fp2"],
             )
+        give_back_memory()
 
     return slim.mapInArrow(run, schema)
 
@@ -413,6 +414,8 @@ def probe(rows: DataFrame, tau: int, tau_both: int | None = None) -> DataFrame:
                 held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
             yield found(held)
+        held = None
+        give_back_memory()
 
     schema = "u bigint, u2 bigint, v bigint, v2 bigint"
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
