@@ -111,6 +111,9 @@ def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "perplexity",
         "score",
         "limit",
+        "n_words",
+        "word_score",
+        "word_limit",
         "keep",
     )
 
