@@ -20,8 +20,8 @@ MIN_SITES = 10
 LOG_BUCKETS = 9
 # Estimates within so many standard errors of the threshold are settled by exact counts.
 ERRORS = 4
-# A document with at least this share of its characters in shared lines is a copy of another
-# document rather than one with boilerplate; its lines are left to document-level deduplication.
+# The registered query, whose SQL says so, takes a document with at least this share of its characters
+# in shared lines for a copy of another. `cleaned` asks for proof instead.
 COPY_SHARE = 0.5
 
 
@@ -69,10 +69,35 @@ def spread_lines(docs: DataFrame, min_sites: int, site_column: str, text_column:
     return judged.filter("sure").select("h1", "h2").union(exact.select("h1", "h2"))
 
 
+def spread_copies(docs: DataFrame, min_sites: int, site_column: str, text_column: str, id_column: str) -> DataFrame:
+    """(k1, k2): keys of the rows whose set of lines, as a whole, stands on at least min_sites sites.
+
+    These are copies of a document: their own number makes their lines spread ones.
+    """
+    k1, k2 = row_keys(id_column, text_column)
+    lines = F.filter(F.transform(_lines(F.col(text_column)), _content), lambda x: x != "")
+    sets = docs.select(
+        k1.alias("k1"),
+        k2.alias("k2"),
+        F.xxhash64(site_column, F.isnull(site_column).cast("int")).alias("site"),
+        F.array_sort(F.array_distinct(lines)).alias("lines"),
+    ).filter(F.size("lines") > 0)
+    s1, s2 = row_keys("lines")
+    sets = written(sets.select("k1", "k2", "site", s1.alias("s1"), s2.alias("s2")), "line-sets")
+    copied = (
+        sets.select("s1", "s2", "site")
+        .distinct()
+        .groupBy("s1", "s2")
+        .agg(F.count("*").alias("sites"))
+        .filter(F.col("sites") >= min_sites)
+    )
+    return sets.join(copied, ["s1", "s2"], "left_semi").select("k1", "k2").distinct()
+
+
 def without_spread_lines(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    copy_share: float = COPY_SHARE,
+    copy_share: float | None = COPY_SHARE,
     site_column: str = "source",
     text_column: str = "text",
     id_column: str = "doc_id",
@@ -82,7 +107,8 @@ def without_spread_lines(
     Lines are cut at line feeds and compared without white space around them. A line on at least
     min_sites distinct sites is removed wherever it stands; blank lines stay. Only a document whose
     shared lines make up copy_share of its characters or more is left as it is: it is a copy of a
-    document, not a page with boilerplate. clean is the text without the removed lines, the text
+    document, not a page with boilerplate. With a copy_share of None it takes more than that: only a
+    document whose lines stand together, as a whole, on min_sites sites is left as it is. clean is the text without the removed lines, the text
     itself if none is, null if it is null (with 0 lines; an empty text is one line). Repeated
     rows stay repeated, and other columns, whatever their names, don't matter.
     """
@@ -105,10 +131,13 @@ def without_spread_lines(
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("place", "size")).alias("shared"))
     )
+    if copy_share is None:
+        copies = spread_copies(docs, min_sites, site_column, text_column, id_column)
+        shared = shared.join(copies, ["k1", "k2"], "left_anti")
     met = keyed.join(shared, ["k1", "k2"], "left")
     text = F.col(f"row.{text_column}")
     sizes = F.aggregate("shared", F.lit(0).cast("bigint"), lambda s, x: s + x["size"])
-    copy = sizes >= copy_share * F.length(text)
+    copy = F.lit(False) if copy_share is None else sizes >= copy_share * F.length(text)
     places = F.when(~copy, F.transform("shared", lambda x: x["place"]))
     left = F.filter(_lines(text), lambda _, i: ~F.array_contains("places", i))
     return met.withColumn("places", places).select(
@@ -120,8 +149,11 @@ def without_spread_lines(
 
 
 def cleaned(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", **options) -> DataFrame:
-    """The rows of docs with their columns, the text cleaned and its length brought up to date."""
-    rows = without_spread_lines(docs, text_column=text_column, **options)
+    """The rows of docs with their columns, the text cleaned and its length brought up to date.
+
+    Only proven copies of documents are left alone, whatever share of a document its spread lines make up.
+    """
+    rows = without_spread_lines(docs, text_column=text_column, **{"copy_share": None} | options)
     changed = {
         text_column: F.col("clean"),
         length_column: F.length("clean").cast(docs.schema[length_column].dataType)
