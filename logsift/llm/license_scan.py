@@ -1,4 +1,8 @@
-"""Licence notices found through a positional index of their rarest words."""
+"""Licence notices found through a positional index of the rarest words of their mandatory phrases.
+
+A notice is none without its phrases, so every place of one is looked at; there the template is laid
+over the text, with a few words put in or left out.
+"""
 
 from __future__ import annotations
 
@@ -66,13 +70,9 @@ TEMPLATES = {
         ("mozilla public license",),
     ),
 }
-# Words of a template that the index holds: its rarest over the corpus.
-ANCHORS = 5
-# Of these, so many must stand at the same relative position, in a shorter template all.
-AGREEING = 3
 # The share of a template's words that must stand in place.
 SHARE = 0.7
-# A key phrase may stand this many words outside the template's place.
+# Words put in or left out may move the others, and a key phrase, this far from the template's place.
 SLACK_WORDS = 4
 
 
@@ -124,23 +124,23 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[in
 
 
 class Index:
-    """Postings (template, position) of the rarest words of each template, and the base phrases."""
+    """Postings (template, phrase, places) of the rarest word of each mandatory phrase, and the base phrases."""
 
     def __init__(self, docs: int, frequency: dict[bytes, int]):
         self.templates = templates()
         self.base = [(_split(phrase), label) for phrase, label in BASE.items()]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
+        # by word: template, phrase, place of the word in the phrase and of the phrase in the template
+        self.postings: dict[bytes, list[tuple[int, tuple[bytes, ...], int, int]]] = defaultdict(list)
 
         def rarity(word: bytes) -> tuple[float, bytes]:
             return (-math.log((docs + 1) / (frequency.get(word, 0) + 1)), word)
 
         for t, template in enumerate(self.templates):
-            anchors = set(sorted(set(template.words), key=rarity)[:ANCHORS])
-            for place, word in enumerate(template.words):
-                if word in anchors:
-                    self.postings[word].append((t, place))
-            self.need.append(min(AGREEING, len(anchors)))
+            for phrase in template.phrases:
+                word = min(phrase, key=rarity)
+                for place in range(len(template.words) - len(phrase) + 1):
+                    if template.words[place : place + len(phrase)] == phrase:
+                        self.postings[word].append((t, phrase, phrase.index(word), place))
         self.starts = {words[0] for words, _ in self.base}
         self.words = frozenset(self.postings) | self.starts
         longest = max(len(t.words) for t in self.templates)
@@ -155,7 +155,7 @@ class Index:
         if self.words.isdisjoint(words):
             return [], []
         last = len(words) if final else len(words) - self.reach
-        base, votes = [], defaultdict(set)
+        base, places = [], set()
         for at, word in enumerate(words):
             if word not in self.words:
                 continue
@@ -163,25 +163,36 @@ class Index:
                 for phrase, label in self.base:
                     if tuple(words[at : at + len(phrase)]) == phrase:
                         base.append((at, label))
-            for t, place in self.postings.get(word, ()):
-                votes[t, at - place].add(word)
+            for t, phrase, inner, place in self.postings.get(word, ()):
+                begin = at - inner
+                if begin >= 0 and begin - place < last and tuple(words[begin : begin + len(phrase)]) == phrase:
+                    places.add((t, begin - place))
         matches = []
-        for (t, start), agreeing in votes.items():
+        for t, start in places:
             template = self.templates[t]
-            if len(agreeing) < self.need[t] or start >= last:
-                continue
-            placed = sum(
-                0 <= start + i < len(words) and words[start + i] == w
-                for i, w in enumerate(template.words)
-            )
-            share = placed / len(template.words)
             low = max(0, start - SLACK_WORDS)
-            window = words[low : max(0, start + len(template.words) + SLACK_WORDS)]
-            if share >= SHARE and all(_holds(window, p) for p in template.phrases):
+            window = words[low : start + len(template.words) + SLACK_WORDS]
+            if not all(_holds(window, p) for p in template.phrases):
+                continue
+            share = _placed(template.words, window, start - low) / len(template.words)
+            if share >= SHARE:
                 matches.append((template.label, share))
         return base, matches
 
 
+def _placed(template: tuple[bytes, ...], window: list[bytes], start: int) -> int:
+    """How many of the template's words stand in order, at most SLACK_WORDS from their place."""
+    best = [0] * (len(window) + 1)  # over the words of the window up to each
+    for i, wanted in enumerate(template):
+        row = best[:]
+        for j in range(len(window)):
+            if window[j] == wanted and abs(j - start - i) <= SLACK_WORDS:
+                row[j + 1] = max(row[j + 1], best[j] + 1)
+            row[j + 1] = max(row[j + 1], row[j])
+        best = row
+    return best[-1]
+
+
 def _holds(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
     size = len(phrase)
     return any(tuple(words[i : i + size]) == phrase for i in range(len(words) - size + 1))
