@@ -2,8 +2,9 @@
 
 Each chunk of a text (the spaces before a word and the word) is merged by an agenda: the candidate
 merge of the best score is taken next, the leftmost of equal ones. A candidate is the pair of spans
-it joins, and a hash of key, chunk and spans decides whether it is skipped. The decision doesn't
-depend on order or on chance, so segmentations vary with the key and are the same in every run.
+it joins, and a hash of key and spans decides whether it is skipped. The key is of the document, its
+copy and the place of the chunk, so every occurrence of a word has a segmentation of its own. The
+decision doesn't depend on order or on chance: segmentations are the same in every run.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import numpy as np
 import pandas as pd
 import sentencepiece
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsift.llm.common import gathered, give_back_memory, small_batches
+from logsift.llm.common import gathered, give_back_memory, row_keys, small_batches
 
 # Chunks that no piece reaches over can be merged on their own: spaces with the Latin letters
 # and digits or with the other characters after them, and line ends. Models whose pieces mix the two kinds get the
@@ -33,7 +34,6 @@ LONG = 64
 REMEMBERED = 500_000
 # A text is encoded in pieces of about this many characters.
 PIECE_CHARS = 1 << 20
-VARIANTS = 4
 DROPOUT = 0.1
 SEED = 2024
 _NONE = np.iinfo(np.int64).max
@@ -248,11 +248,12 @@ class Merger:
 
 
 class Encoder:
-    """Encodes texts, remembering the chunks it has merged."""
+    """Encodes texts. Without dropout, or with a number of variants, it remembers the chunks it has merged."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int):
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int | None = None):
         self.merger = Merger(vocabulary, dropout)
-        self.dropout, self.seed, self.variants = dropout, seed, max(1, variants)
+        self.dropout, self.seed, self.variants = dropout, seed, max(1, variants or 1)
+        self.each = dropout > 0 and variants is None
         self.known: list[dict[str, int]] = []
         self.forget()
 
@@ -286,7 +287,44 @@ class Encoder:
         self.width = np.append(self.width, width)
         self.flat = np.append(self.flat, flat.astype(np.int64))
 
+    def _encode_each(self, texts: list[tuple[object, str]]) -> list[np.ndarray]:
+        """Every chunk of every text by skips of its own, in batches of about PIECE_CHARS characters."""
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        pieces: list[tuple[int, int]] = []
+        chunks: list[str] = []
+        keys: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal pieces, chunks, keys, held
+            if chunks:
+                flat, width = self.merger.merge(chunks, np.concatenate(keys))
+                ends = np.cumsum(width)[np.cumsum([many for _, many in pieces]) - 1]
+                for (i, _), ids in zip(pieces, np.split(flat, ends[:-1])):
+                    found[i].append(ids.astype(np.int32))
+            pieces, chunks, keys, held = [], [], [], 0
+
+        for i, (doc, text) in enumerate(texts):
+            own = np.uint64(xxhash.xxh64_intdigest(repr(doc).encode("utf-8", "surrogatepass"), self.seed))
+            place = 0
+            for part in _parts(" " + text) if text else ():
+                new = self.merger.v.chunk.findall(part)
+                places = np.arange(place, place + len(new), dtype=np.uint64)
+                keys.append(_mix(own + places * np.uint64(0x9E3779B97F4A7C15)))
+                pieces.append((i, len(new)))
+                chunks += new
+                place += len(new)
+                held += len(part)
+                if held > PIECE_CHARS:
+                    flush()
+        flush()
+        empty = np.zeros(0, dtype=np.int32)
+        return [np.concatenate(f) if f else empty for f in found]
+
     def encode(self, texts: list[tuple[object, str]]) -> list[np.ndarray]:
+        if self.each:
+            with np.errstate(over="ignore"):
+                return self._encode_each(texts)
         if self.held > REMEMBERED:
             self.forget()
         found: list[list[np.ndarray]] = [[] for _ in texts]
@@ -335,15 +373,16 @@ def encode(
     model: str,
     dropout: float = DROPOUT,
     seed: int = SEED,
-    variants: int = VARIANTS,
+    variants: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """Every row of docs with ids, the pieces of its whole text; columns: row, ids.
 
-    A chunk has up to variants segmentations, by the hash of the document's id; dropout 0 gives the
-    model's plain encoding, 1 single characters. A null or empty text has no ids. Characters that
-    are not in the model become their bytes. Rows with one id and text get one segmentation.
+    Every chunk is segmented by the document's id and the chunk's place; a number of variants limits
+    a chunk to so many segmentations, which is faster. Dropout 0 gives the model's plain encoding, 1
+    single characters. A null or empty text has no ids. Characters that are not in the model become
+    their bytes. Rows with one id and text are numbered, and segmented each in its own way.
     """
     small_batches(docs.sparkSession)
 
@@ -358,8 +397,14 @@ def encode(
     # annotations of this module are strings; Spark reads them to tell the kind of function
     work.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     run = F.pandas_udf(work, T.ArrayType(T.IntegerType(), False))
-    name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    return docs.select(F.struct("*").alias("row"), run(name, F.col(text_column)).alias("ids"))
+    rows = docs.select(F.struct("*").alias("row"), *(k.alias(n) for n, k in zip(("k1", "k2"), row_keys(id_column, text_column))))
+    name: Column = F.coalesce(F.col(f"row.`{id_column}`").cast("string"), F.lit(""))
+    if dropout > 0 and variants is None:
+        hashed = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+        copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64(*hashed)))
+        rows = rows.withColumn("copy", copy)
+        name = F.when(F.col("copy") > 1, F.concat(name, F.lit("\0"), F.col("copy").cast("string"))).otherwise(name)
+    return rows.select("row", run(name, F.col(f"row.`{text_column}`")).alias("ids"))
 
 
 def decode(rows: DataFrame, model: str, ids_column: str = "ids") -> DataFrame:
