@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from logsift.llm import (
     block_topk,
+    filter_audit,
+    importance,
     kneser_ney,
     license_scan,
     line_spread,
@@ -123,6 +125,17 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at every step of every order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's distribution, and its place in the draw."""
+    rows = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -135,6 +148,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pivotal_mix": op8_pivotal_mix,
         "op9_kneser_ney_quality": op9_kneser_ney_quality,
         "op10_block_top_k": op10_block_top_k,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -143,4 +158,5 @@ def all_oracles() -> dict[str, str]:
         "op2_line_spread": line_spread.ORACLE.format(
             docs="documents", min_sites=line_spread.MIN_SITES, copy_share=line_spread.COPY_SHARE
         ),
+        "op12_filter_audit": filter_audit.ORACLE,
     }
