@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +41,36 @@ def give_back_memory() -> None:
         trim(0)
 
 
+_folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(rows: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the folder all executors share; cuts lineage, survives lost executors."""
     path = fresh_folder(rows.sparkSession, label)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    _folders[table] = path
+    return table
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of an operator's own, in any store that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that `written` has returned; nothing may read them any more."""
+    for table in tables:
+        path = _folders.pop(table, None)
+        if path is not None:
+            deleted(table.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def row_keys(*columns: str) -> tuple[Column, Column]:

@@ -18,6 +18,7 @@ from logsift.llm import (
     merge_dropout,
     mixing,
     simhash,
+    suffix_dedup,
     tile_search,
     token_files,
     trie_counts,
@@ -125,6 +126,19 @@ def op10_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier one has."""
+    rows = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return rows.select(
+        F.col("doc").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes at every step of every order, by source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -148,6 +162,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pivotal_mix": op8_pivotal_mix,
         "op9_kneser_ney_quality": op9_kneser_ney_quality,
         "op10_block_top_k": op10_block_top_k,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_filter_audit": op12_filter_audit,
         "op13_importance_resampling": op13_importance_resampling,
     }
