@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import row_keys
+from logsift.llm.common import row_keys, written
 
 # White space of the word contracts.
 SPACES = " \t\n\x0b\f\r"
@@ -252,7 +252,7 @@ def audit(
     without an id is a copy of nothing and nothing of it. A null text is empty, a null part the empty
     string, repeated rows count as often as they occur. No documents give no parts and so no rows.
     """
-    counts = patterns(docs, labels, conditions, id_column, text_column, part_column)
+    counts = written(patterns(docs, labels, conditions, id_column, text_column, part_column), "filter-patterns")
     return steps_of_orders(counts, "".join(conditions) + COPIES)
 
 
