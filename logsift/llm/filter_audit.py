@@ -135,7 +135,8 @@ def patterns(
     k1, k2 = row_keys("text")
     bits = [F.when(fails(F.col("text")), 1 << i).otherwise(0) for i, fails in enumerate(conditions.values())]
     slim = parts.select("id", "part", k1.alias("k1"), k2.alias("k2"), sum(bits, F.lit(0)).alias("own"))
-    rows = slim.groupBy("id", "part", "k1", "k2", "own").agg(F.count("*").alias("n"))
+    # the texts are read once; all that follows starts from these rows
+    rows = written(slim.groupBy("id", "part", "k1", "k2", "own").agg(F.count("*").alias("n")), "filter-rows")
     known = (
         labels.filter(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("bigint").alias("id"))
