@@ -113,3 +113,52 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = (words if full.all() else words.filter(pa.array(full))).dictionary_encode()
     begins = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begins
+
+
+# --- numbers on their way ------------------------------------------------------------------------------
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes: all their lowest bytes, then all the next, compressed."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    body = pa.compress(planes, codec="zstd", asbytes=True) if values.size else b""
+    return bytes([width]) + values.size.to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
+
+
+def expanded(data: bytes, count: int = 1) -> list[np.ndarray]:
+    """The arrays of so many squeezed ones in a row."""
+    out, at = [], 0
+    for _ in range(count):
+        width, size, held = data[at], *(int.from_bytes(data[at + i : at + i + 4], "little") for i in (1, 5))
+        values = np.zeros((size, 8), dtype=np.uint8)
+        if size:
+            body = pa.py_buffer(data).slice(at + 9, held)
+            planes = np.frombuffer(pa.decompress(body, width * size, codec="zstd"), dtype=np.uint8)
+            values[:, :width] = planes.reshape(width, size).T
+        out.append(values.view("<u8").reshape(-1))
+        at += 9 + held
+    return out
+
+
+def rising(keys: np.ndarray) -> np.ndarray:
+    """The differences of ascending keys, which have fewer bytes than they."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def risen(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in ascending 64-bit keys, with the end; a bucket is a range of keys."""
+    bounds = [-(-(b << 64) // buckets) for b in range(1, buckets)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, dtype=np.uint64)), [keys.size]])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64: spreads 64-bit keys evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

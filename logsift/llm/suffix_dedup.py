@@ -27,7 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import deleted, discarded, free_shuffles, give_back_memory, small_batches, written
+from logsift.llm.common import (
+    bucket_edges,
+    deleted,
+    discarded,
+    expanded,
+    free_shuffles,
+    give_back_memory,
+    mixed,
+    risen,
+    rising,
+    small_batches,
+    squeezed,
+    written,
+)
 from logsift.session import fresh_folder
 
 LENGTH = 50
@@ -44,40 +57,20 @@ KNOWN = "block bigint, kind int, bucket int, data binary, places array<int>"
 SENT = "bucket int, block bigint, data binary"
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of SplitMix64: spreads 64-bit keys evenly."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 # --- digests on their way ----------------------------------------------------------------------------
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as the bytes of their differences, most significant bytes apart from the others."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True) + keys.size.to_bytes(4, "little")
+    """Ascending 64-bit keys as bytes."""
+    return squeezed(rising(keys))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width, size = data[0], int.from_bytes(data[-4:], "little")
-    planes = pa.decompress(data[1:-4], decompressed_size=width * size, codec="zstd", asbytes=True)
-    gaps = np.zeros((size, 8), dtype=np.uint8)
-    gaps[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, size).T
-    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in ascending keys, with the end; a bucket is a range of keys."""
-    bounds = [-(-(b << 64) // buckets) for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, dtype=np.uint64)), [keys.size]])
+    return risen(expanded(data)[0])
 
 
 def _sent(block: int, keys: np.ndarray, buckets: int) -> pa.Table:
-    edges = _bucket_edges(keys, buckets)
+    edges = bucket_edges(keys, buckets)
     full = np.flatnonzero(np.diff(edges))
     return pa.table(
         {
@@ -140,7 +133,7 @@ class Block:
                 word = self.words[at.start + back : at.stop + back : at.step]
             else:
                 word = self.words[at + back]
-            key = _mixed((key ^ word) + np.uint64(0x9E3779B97F4A7C15))
+            key = mixed((key ^ word) + np.uint64(0x9E3779B97F4A7C15))
         return key
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +153,7 @@ class Block:
     def answered(self, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
         """The bits that came back for ascending keys."""
         out = np.zeros(keys.size, dtype=bool)
-        edges = _bucket_edges(keys, buckets)
+        edges = bucket_edges(keys, buckets)
         for bucket, data in self.bits[kind].items():
             start, stop = int(edges[bucket]), int(edges[bucket + 1])
             out[start:stop] = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=stop - start)

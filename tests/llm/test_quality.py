@@ -15,10 +15,8 @@ from tests.llm.conftest import documents
 def _plain_model(texts):
     """Probabilities by dictionaries, order by order."""
     found = Counter(int(c) for t in texts for c in kneser_ney.codes(t))
-    c4 = {(c >> 18, c >> 12 & 63, c >> 6 & 63, c & 63): n for c, n in found.items()}
-    c3, c2, c1 = (Counter() for _ in range(3))
-    for _, b, c, d in c4:
-        c3[b, c, d] += 1
+    c3 = {(c >> 12, c >> 6 & 63, c & 63): n for c, n in found.items()}
+    c2, c1 = Counter(), Counter()
     for _, c, d in c3:
         c2[c, d] += 1
     for _, d in c2:
@@ -47,21 +45,39 @@ def _plain_model(texts):
 
         return p
 
-    return order(c4, order(c3, order(c2, order(c1, lambda: 1 / 64))))
+    return order(c3, order(c2, order(c1, lambda: 1 / 64)))
 
 
 def test_costs_equal_the_plain_model(spark, small):
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(40).collect()]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    table = kneser_ney.fit(kneser_ney.sequence_counts(docs)).table()
+    table = kneser_ney.fit(kneser_ney.sequence_counts(docs))
     p = _plain_model(texts)
-    for code in [*range(0, 64**4, 65_537), *kneser_ney.codes(texts[0]).tolist()]:
-        want = -math.log(p(code >> 18, code >> 12 & 63, code >> 6 & 63, code & 63)) * kneser_ney.UNIT
+    for code in [*range(0, 64**3, 61), *kneser_ney.codes(texts[0]).tolist()]:
+        want = -math.log(p(code >> 12, code >> 6 & 63, code & 63)) * kneser_ney.UNIT
         assert abs(table[code] - want) <= 2
-    sums = np.exp(-table.astype(np.float32) / kneser_ney.UNIT).reshape(-1, 64).sum(axis=1)
+    sums = np.exp(-table.astype(np.float64) / kneser_ney.UNIT).reshape(-1, 64).sum(axis=1)
     assert np.allclose(sums, 1, atol=1e-3)  # probabilities of every context
 
 
+def test_limits_take_in_neighbours_until_they_are_enough(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "ENOUGH_DOCS", 50)
+    rows = [("en", 10 + i % 3, 5 + i / 100) for i in range(100)]  # lengths of four digits: 5.00 to 5.99
+    rows += [("en", 200, 3 + i / 1000) for i in range(60)]
+    rows += [("fr", 200, 2.0 + i / 10) for i in range(10)]
+    rows += [(None, 200, 1.0)] * 3
+    scores = spark.createDataFrame(rows, "lang string, n long, score double")
+    found = {(rest, lang, length): upper for rest, lang, length, upper in kneser_ney.limits(scores)}
+    assert found[False, "en", 4] == pytest.approx(5.991) and found[False, "en", 8] == pytest.approx(3.06)
+    assert found[False, "en", 9] == pytest.approx(3.06)  # longer ones than any: the next shorter
+    assert found[False, "en", 1] == pytest.approx(5.991)  # shorter ones than any: the next longer
+    assert found[True, None, 8] == pytest.approx(3.06)
+    assert found[False, "fr", 8] == pytest.approx(3.06)  # too few: that of all together, which is higher
+    assert found[False, "fr", 4] == pytest.approx(5.991)
+    assert not [k for k in found if k[:2] == (False, None)]  # a language with three documents
+    assert kneser_ney.limits(scores.limit(3)) == []
+
+
 def test_repeats_and_marks_become_symbols():
     plain, repeats = kneser_ney.codes("spam ham egg"), kneser_ney.codes("spam spam spam")
     assert len(repeats) == len("spam") + 2 + 1 and len(plain) == len("spam ham egg") + 1
