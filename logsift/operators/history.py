@@ -27,6 +27,20 @@ def merge_templates(history: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """One row a template from several partial histories; the merge of all of them at once.
+
+    The descriptive columns follow from the hash. Partial sums meet in each task first, so that a template
+    which every part has stays cheap.
+    """
+    return parts.groupBy("template_hash").agg(
+        *[F.min(c).alias(c) for c in ("service_name", "logger", "template_text")],
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.sum("total_count").alias("total_count"),
+    )
+
+
 def template_history(occurrences: DataFrame) -> DataFrame:
     """The history rebuilt from all recorded occurrences; a pure rollup, safe to repeat."""
     return occurrences.groupBy("template_hash", "service_name", "logger", "template_text").agg(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from logsift.functions.identity import add_logger, add_service
 from logsift.functions.masking import normalize_lines
 from logsift.operators import buckets, cost, findings, history, lifecycle, templates, triage
-from logsift.sources.tables import Tables
+from logsift.sources.snapshots import DAY_SECONDS
+from logsift.sources.tables import Tables, hash_range
 
 
 def run_entries(lines: DataFrame, runs: DataFrame) -> DataFrame:
@@ -55,8 +56,9 @@ def collect(
     """Record the runs and what occurred in their windows, then bring the history up to date.
 
     All bucket entries count. With limits, only the newest entries of a run and bucket do, and how
-    many were kept and dropped is recorded. Repeating a call changes nothing: if a run has been
-    collected before, the history is rebuilt from the occurrences instead of being added to.
+    many were kept and dropped is recorded. New runs add to the history without touching the rest of
+    it. Repeating a call changes nothing: if a run has been collected before, the ranges of hashes it
+    had or has templates in are rebuilt from the occurrences instead of being added to.
     """
     tables.start_runs(runs)
     covered = _ids(runs)
@@ -66,15 +68,25 @@ def collect(
         tables.replace_runs("bucket_count", buckets.limit_counts(entries, limits), covered)
     else:
         kept = entries
+    before = tables.read("template_occurrence").join(covered, "run_id", "left_semi")
     seen = tables.recorded_runs("template_occurrence").join(covered, "run_id", "left_semi")
     again = not seen.isEmpty()
     tables.append_occurrences(run_occurrences(kept, runs), covered)
     recorded = tables.read("template_occurrence")
-    if again or not tables.exists("log_template"):
-        tables.replace("log_template", history.template_history(recorded))
+    now = recorded.join(covered, "run_id", "left_semi")
+    if again:
+        touched = before.select("template_hash").union(now.select("template_hash"))
+        ranges = touched.select(hash_range(F.col("template_hash")).alias("r")).distinct().collect()
+        ranges = [r["r"] for r in ranges]  # sixteen at most
+        inside = recorded.filter(hash_range(F.col("template_hash")).isin(ranges))
+        tables.rebuild_history(history.template_history(inside), ranges)
     else:
-        new = history.template_history(recorded.join(covered, "run_id", "left_semi"))
-        tables.replace("log_template", history.merge_templates(tables.read("log_template"), new))
+        tables.add_history(history.template_history(now))
+
+
+def tidy(tables: Tables, grace: float = DAY_SECONDS) -> int:
+    """Deletes what writes have superseded for longer than grace seconds. To be run now and then."""
+    return tables.vacuum(grace)
 
 
 def claim(tables: Tables) -> DataFrame:

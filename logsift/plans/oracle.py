@@ -537,6 +537,7 @@ def all_oracles() -> dict[str, str]:
     q["union_buckets"] = "select bucket, job, ts_ns, line from tagged"
     q["bucket_counts"] = "select bucket, count(*) as entries from tagged group by bucket"
     q["bucket_limit"] = "select run_id, bucket, job, service_name, ts_ns, line from tightly_limited"
+    q["bucket_limit_by_sketch"] = q["bucket_limit"]
     caps = " ".join(f"when '{name}' then {limit}" for name, limit in TIGHT_LIMITS.items())
     q["dropped_counts"] = f"""select run_id, bucket, least(n, case bucket {caps} end) as kept,
       n - least(n, case bucket {caps} end) as dropped

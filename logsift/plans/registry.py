@@ -222,6 +222,13 @@ def q_bucket_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.bucket_limit(entries, TIGHT_LIMITS).select("run_id", "bucket", "job", "service_name", "ts_ns", "line")
 
 
+def q_bucket_limit_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries, found from sketches of the times."""
+    entries = jobs.run_entries(_lines(spark, sf_dir), adapters.daily_runs(spark, sf_dir))
+    kept = buckets.newest_by_sketch(entries, TIGHT_LIMITS, ranked_rows=10)
+    return kept.select("run_id", "bucket", "job", "service_name", "ts_ns", "line")
+
+
 def q_dropped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What limits keep and drop of each run and bucket."""
     entries = jobs.run_entries(_lines(spark, sf_dir), adapters.daily_runs(spark, sf_dir))

@@ -5,6 +5,7 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logsift import schemas
@@ -117,10 +118,44 @@ def test_every_entry_counts_unless_limits_are_given(spark):
     assert table(tables, "log_template", "total_count") == [(2000,)]
 
 
-def test_limits_beyond_the_pruning_are_refused(spark):
-    rows = spark.createDataFrame([], "run_id bigint, bucket string, job string, service_name string, ts_ns bigint, line string")
-    with pytest.raises(ValueError):
-        buckets.bucket_limit(rows, {"errors": 20_000})
+def test_limits_of_any_height_keep_the_newest(spark, monkeypatch):
+    """The sketched way against a plain ranking, with buckets that fit, ties, narrow rounds and poor sketches."""
+    rows = spark.range(30_000, numPartitions=7).select(
+        (F.col("id") % 2).alias("run_id"),
+        F.expr("case when id % 10 < 6 then 'errors' when id % 10 < 9 then 'warnings' else 'system_issues' end").alias("bucket"),
+        F.lit("docker").alias("job"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("service_name"),
+        # warnings fall on a few instants, so that a limit cuts through a tie
+        F.expr("case when id % 10 between 6 and 8 then id % 4 else (id * 7919) % 30011 end").alias("ts_ns"),
+        F.concat(F.lit("line "), F.col("id")).alias("line"),
+    )
+    limits = {"errors": 4000, "warnings": 1234, "system_issues": 100_000}
+    window = Window.partitionBy("run_id", "bucket").orderBy(F.desc("ts_ns"), "job", "service_name", "line")
+    cap = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("bucket")]
+    want = rows.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= cap).drop("r")
+
+    def same(got):
+        return got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+    assert same(buckets.bucket_limit(rows, limits))
+    assert same(buckets.newest_by_sketch(rows, limits, ranked_rows=5))
+    monkeypatch.setattr(buckets, "SKETCH_SIZE", 8)  # misses, which counts find out
+    monkeypatch.setattr(buckets, "SKETCH_MARGIN", 0)
+    assert same(buckets.newest_by_sketch(rows, limits, ranked_rows=5))
+    assert buckets.newest_by_sketch(rows, {"errors": 0}).count() == 0
+    assert buckets.newest_by_sketch(rows.limit(0), limits).count() == 0
+
+
+def test_only_the_bracket_is_ranked(spark, monkeypatch):
+    rows = spark.range(200_000, numPartitions=8).select(
+        F.lit(1).cast("bigint").alias("run_id"), F.lit("errors").alias("bucket"), F.lit("docker").alias("job"),
+        F.lit("s").alias("service_name"), F.col("id").alias("ts_ns"), F.lit("x").alias("line"),
+    )
+    inside = []
+    plain = buckets._cuts
+    monkeypatch.setattr(buckets, "_cuts", lambda *a: inside.append(plain(*a)) or inside[-1])
+    assert buckets.newest_by_sketch(rows, {"errors": 150_000}).agg(F.min("ts_ns")).first()[0] == 50_000
+    assert inside[0].first()["_inside"] < 200_000 * 0.03
 
 
 def test_the_cycle_run_by_run(spark):
