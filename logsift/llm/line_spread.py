@@ -20,9 +20,6 @@ MIN_SITES = 10
 LOG_BUCKETS = 9
 # Estimates within so many standard errors of the threshold are settled by exact counts.
 ERRORS = 4
-# The registered query, whose SQL says so, takes a document with at least this share of its characters
-# in shared lines for a copy of another. `cleaned` asks for proof instead.
-COPY_SHARE = 0.5
 
 
 def _lines(text: Column) -> Column:
@@ -97,7 +94,6 @@ def spread_copies(docs: DataFrame, min_sites: int, site_column: str, text_column
 def without_spread_lines(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    copy_share: float | None = COPY_SHARE,
     site_column: str = "source",
     text_column: str = "text",
     id_column: str = "doc_id",
@@ -105,10 +101,9 @@ def without_spread_lines(
     """Every row of docs as row, with clean, n_lines and n_removed.
 
     Lines are cut at line feeds and compared without white space around them. A line on at least
-    min_sites distinct sites is removed wherever it stands; blank lines stay. Only a document whose
-    shared lines make up copy_share of its characters or more is left as it is: it is a copy of a
-    document, not a page with boilerplate. With a copy_share of None it takes more than that: only a
-    document whose lines stand together, as a whole, on min_sites sites is left as it is. clean is the text without the removed lines, the text
+    min_sites distinct sites is removed wherever it stands; blank lines stay. Only a document whose lines
+    stand together, as a whole, on min_sites sites is left as it is: it is a copy of a document, not a
+    page with boilerplate. clean is the text without the removed lines, the text
     itself if none is, null if it is null (with 0 lines; an empty text is one line). Repeated
     rows stay repeated, and other columns, whatever their names, don't matter.
     """
@@ -117,43 +112,49 @@ def without_spread_lines(
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct("*").alias("row"))
     # lines travel as hashes; texts are shuffled once, to meet the places of their removed lines
     h1, h2 = row_keys("line")
+    # keys first: beside the lines they would be computed from the whole text for each of them
+    split = docs.select(k1.alias("k1"), k2.alias("k2"), _lines(F.col(text_column)).alias("lines"))
     placed = (
-        docs.select(
-            k1.alias("k1"), k2.alias("k2"), F.posexplode(_lines(F.col(text_column))).alias("place", "raw")
-        )
-        .select("k1", "k2", "place", F.length("raw").alias("size"), _content(F.col("raw")).alias("line"))
+        split.select("k1", "k2", F.posexplode("lines").alias("place", "raw"))
+        .select("k1", "k2", "place", _content(F.col("raw")).alias("line"))
         .filter("line <> ''")
-        .select("k1", "k2", "place", "size", h1.alias("h1"), h2.alias("h2"))
+        .select("k1", "k2", "place", h1.alias("h1"), h2.alias("h2"))
     )
     # rows equal in id and text have the same places; a set holds each once
     shared = (
         placed.join(spread, ["h1", "h2"], "left_semi")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("place", "size")).alias("shared"))
+        .agg(F.collect_set("place").alias("places"))
     )
-    if copy_share is None:
-        copies = spread_copies(docs, min_sites, site_column, text_column, id_column)
-        shared = shared.join(copies, ["k1", "k2"], "left_anti")
+    copies = spread_copies(docs, min_sites, site_column, text_column, id_column)
+    shared = shared.join(copies, ["k1", "k2"], "left_anti")
     met = keyed.join(shared, ["k1", "k2"], "left")
     text = F.col(f"row.{text_column}")
-    sizes = F.aggregate("shared", F.lit(0).cast("bigint"), lambda s, x: s + x["size"])
-    copy = F.lit(False) if copy_share is None else sizes >= copy_share * F.length(text)
-    places = F.when(~copy, F.transform("shared", lambda x: x["place"]))
-    left = F.filter(_lines(text), lambda _, i: ~F.array_contains("places", i))
-    return met.withColumn("places", places).select(
+    return met.select(
         "row",
-        F.when(F.size("places") > 0, F.array_join(left, "\n")).otherwise(text).alias("clean"),
+        F.when(F.size("places") > 0, _without(text, F.col("places"))).otherwise(text).alias("clean"),
         F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias("n_lines"),
         F.greatest(F.size(F.coalesce("places", F.array().cast("array<int>"))), F.lit(0)).alias("n_removed"),
     )
 
 
-def cleaned(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", **options) -> DataFrame:
-    """The rows of docs with their columns, the text cleaned and its length brought up to date.
+def _without(text: Column, places: Column) -> Column:
+    """A text without the lines at some places, in time that grows with the lines.
 
-    Only proven copies of documents are left alone, whatever share of a document its spread lines make up.
+    The outer function binds the lines, so that they are not split anew for each of them.
     """
-    rows = without_spread_lines(docs, text_column=text_column, **{"copy_share": None} | options)
+    parts = F.array(F.struct(_lines(text).alias("lines"), places.alias("places")))
+
+    def joined(part: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(part["lines"]) - 1)
+        return F.array_join(F.transform(F.array_except(every, part["places"]), lambda i: part["lines"][i]), "\n")
+
+    return F.transform(parts, joined)[0]
+
+
+def cleaned(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", **options) -> DataFrame:
+    """The rows of docs with their columns, the text cleaned and its length brought up to date."""
+    rows = without_spread_lines(docs, text_column=text_column, **options)
     changed = {
         text_column: F.col("clean"),
         length_column: F.length("clean").cast(docs.schema[length_column].dataType)
@@ -179,14 +180,22 @@ WITH lines AS (
 ), spread AS (
     SELECT line FROM compared WHERE line <> ''
     GROUP BY line HAVING count(DISTINCT source) + max((source IS NULL)::int) >= {min_sites}
+), sets AS (
+    SELECT doc_id, text, source, list_sort(list(DISTINCT line)) AS content
+    FROM compared WHERE line <> '' GROUP BY doc_id, text, source
+), whole AS (
+    SELECT content FROM sets
+    GROUP BY content HAVING count(DISTINCT source) + max((source IS NULL)::int) >= {min_sites}
+), copies AS (
+    SELECT DISTINCT doc_id, text, true AS copied FROM sets SEMI JOIN whole USING (content)
 ), shared AS (
-    SELECT doc_id, text, sum(length(raw)) AS size, list(DISTINCT place) AS places
-    FROM (SELECT DISTINCT doc_id, text, place, raw FROM compared SEMI JOIN spread USING (line))
-    GROUP BY doc_id, text
+    SELECT doc_id, text, list(DISTINCT place) AS places
+    FROM compared SEMI JOIN spread USING (line) GROUP BY doc_id, text
 ), met AS (
-    SELECT d.*, CASE WHEN s.size < {copy_share} * length(d.text) THEN s.places ELSE [] END AS places
-    FROM {docs} d LEFT JOIN shared s
-      ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text IS NOT DISTINCT FROM s.text
+    SELECT d.*, CASE WHEN c.copied THEN [] ELSE s.places END AS places
+    FROM {docs} d
+    LEFT JOIN shared s ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text IS NOT DISTINCT FROM s.text
+    LEFT JOIN copies c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text IS NOT DISTINCT FROM c.text
 )
 SELECT doc_id, lang, source,
        CASE WHEN len(places) > 0 THEN coalesce(array_to_string(

@@ -170,8 +170,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_oracles() -> dict[str, str]:
     return {
-        "op2_line_spread": line_spread.ORACLE.format(
-            docs="documents", min_sites=line_spread.MIN_SITES, copy_share=line_spread.COPY_SHARE
-        ),
+        "op2_line_spread": line_spread.ORACLE.format(docs="documents", min_sites=line_spread.MIN_SITES),
         "op12_filter_audit": filter_audit.ORACLE,
     }

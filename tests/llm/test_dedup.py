@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -166,7 +167,7 @@ def test_one_of_each_group_stays(spark, odd, nothing):
 
 
 def _by_sql(docs, **options):
-    settings = {"min_sites": line_spread.MIN_SITES, "copy_share": line_spread.COPY_SHARE} | options
+    settings = {"min_sites": line_spread.MIN_SITES} | options
     con = duckdb.connect()
     con.register("given", docs.select("doc_id", "text", "lang", "source").toArrow())
     return con.sql(line_spread.ORACLE.format(docs="given", **settings)).fetchall()
@@ -209,6 +210,17 @@ def test_copies_of_documents_are_left_alone(spark):
     assert got[101] == "page number 1 with its own words"
 
 
+def test_texts_of_many_lines_take_linear_time(spark):
+    lines = [f"own line {i}" if i % 2 else "a notice" for i in range(80_000)]
+    pages = [(i, f"page {i}\na notice", "en", f"s{i}") for i in range(12)]
+    docs = documents(spark, [(100, "\n".join(lines), "en", "s0"), *pages])
+    line_spread.without_spread_lines(docs).count()
+    start = time.perf_counter()
+    got = {r[0]: r for r in _cleaned_rows(docs)}
+    assert time.perf_counter() - start < 15  # a quadratic way takes minutes on a slow machine
+    assert got[100][3] == "\n".join(lines[1::2]) and got[100][4:] == (80_000, 40_000)
+
+
 def test_lines_of_odd_documents(spark, odd, nothing):
     _same(_cleaned_rows(odd, min_sites=2), _by_sql(odd, min_sites=2))
     assert line_spread.cleaned(odd).columns == odd.columns
