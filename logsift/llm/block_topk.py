@@ -13,12 +13,14 @@ RANGE_ROWS = 64
 # Ranges scored between two looks at the bounds.
 WAVE = 4
 SCALE = 64  # fixed by the contract
-# Scores are 64-bit integers; components are clamped so that 64 products of two fit in one.
-LARGEST = 2.0**28
+# Sums of doubles below the first are exact, sums of 64-bit integers below the second.
+DOUBLES, LONGS = 2.0**53, 2.0**63
+LEAST = np.iinfo(np.int64).min
 
 
 def quantised(data: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(data * SCALE), -LARGEST, LARGEST)
+    """Whole numbers, as doubles: multiplying by a power of two and rounding down are exact."""
+    return np.floor(data * SCALE)
 
 
 class TopTile(Tile):
@@ -28,13 +30,31 @@ class TopTile(Tile):
         super().__init__(ids, quantised(data), k)
         self.up, self.down = np.maximum(self.data, 0), np.minimum(self.data, 0)
         self.found = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))  # query, vector, score
-        self.kth = np.full(len(ids), -np.inf)
+        self.kth = np.full(len(ids), LEAST)
 
     def _product(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        largest = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[1]
-        if largest < 2.0**53:  # whole numbers of this size are exact in doubles
+        with np.errstate(over="ignore"):
+            largest = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[1]
+        if largest < DOUBLES:
             return (left @ right.T).astype(np.int64)
-        return left.astype(np.int64) @ right.astype(np.int64).T
+        if largest < LONGS:
+            return left.astype(np.int64) @ right.astype(np.int64).T
+        return self._each(left, right)
+
+    def _each(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sums that may not fit: those of doubles that are large enough say so, others are exact integers."""
+        if not (np.isfinite(left).all() and np.isfinite(right).all()):
+            raise OverflowError("a component is too large for its 64-fold")
+        out = np.empty((len(left), len(right)), dtype=np.int64)
+        whole = [[int(x) for x in row] for row in right.tolist()]
+        for i, row in enumerate(left.tolist()):
+            own = [int(x) for x in row]
+            for j, other in enumerate(whole):
+                score = sum(x * y for x, y in zip(own, other))
+                if not LEAST <= score < -LEAST:
+                    raise OverflowError("a score does not fit into 64 bits")
+                out[i, j] = score
+        return out
 
     def scan(self, ids: np.ndarray, data: np.ndarray) -> None:
         data = quantised(data)
@@ -46,12 +66,18 @@ class TopTile(Tile):
         most = np.maximum.reduceat(data, starts, axis=0)
         least = np.minimum.reduceat(data, starts, axis=0)
         # summed term maxima; the slack covers the rounding of sums beyond 2**53
-        bound = self.up @ most.T + self.down @ least.T
-        bound += np.abs(bound) * 1e-12
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = self.up @ most.T + self.down @ least.T
+            terms = self.up @ np.abs(most).T - self.down @ np.abs(least).T
+            bound = np.where(terms < DOUBLES, bound, bound + terms * 1e-12 + 1)
+        bound[np.isnan(bound)] = np.inf
         ranges = np.argsort(-bound, axis=1, kind="stable")
         for wave in range(0, starts.size, WAVE):
             now = ranges[:, wave : wave + WAVE]
-            due = np.take_along_axis(bound, now, axis=1) >= self.kth[:, None]
+            # a double below an integer beyond 2**53, so that rounding never leaves a range out
+            floor = self.kth.astype(np.float64)
+            floor = np.where(np.abs(floor) < DOUBLES, floor, floor - np.abs(floor) * 1e-12)
+            due = np.take_along_axis(bound, now, axis=1) >= floor[:, None]
             if not due.any():
                 break
             hits = [self.found]
@@ -93,7 +119,8 @@ def top_products(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every query.
 
-    Each component x counts as floor(64 x), within 2**28 either way. Queries are the rows whose id
+    Each component x counts as floor(64 x), exactly; a score that does not fit into 64 bits ends the
+    search with an error. Queries are the rows whose id
     every divides, candidates all rows with another id; ties go to the smaller id. Exact: a range
     of vectors is left out only if its bound is below the k-th best score. Vectors that are null,
     empty or hold a null or non-finite component, and rows without an id, take no part; vectors

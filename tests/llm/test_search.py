@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from logsift.llm import block_topk, license_scan, queries, tile_search
@@ -77,6 +78,27 @@ def test_top_products_equal_plain_search(spark):
     assert got == _plain(rows, 20, 20, _product, False, False)
 
 
+def test_large_components_are_exact(spark):
+    random = np.random.default_rng(6)
+    rows = [(i, (random.normal(0, 1, 5) * 10.0 ** random.integers(0, 8)).tolist()) for i in range(200)]
+    rows += [(300, [5.0e6, 0.0, 1.0, 0.0, 0.0]), (301, [5.0e6, 0.0, 1.0, 0.0, 1.0]), (320, [1e7, -1e7, 1e7, 3.0, 0.1])]
+    rows += [(340, [0.0, 0.0, 0.0, 1e12, 0.0]), (341, [0.0, 0.0, 0.0, 2.5, 7.0])]
+    plain = [(i, np.array(v, dtype=np.float32).tolist()) for i, v in rows]
+    got = _rows(block_topk.top_products(_vectors(spark, rows)))
+    assert got == _plain(plain, 20, 20, _product, False, False)
+    assert max(s for *_, s in got) > 2**53
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    tile = block_topk.TopTile(np.array([0]), np.array([[1e12, 1e12]]), 2)
+    with pytest.raises(OverflowError):
+        tile.scan(np.array([1]), np.array([[1e12, 1.0]]))
+    with pytest.raises(OverflowError):
+        tile.scan(np.array([1]), np.array([[1e307, 1.0]]))
+    tile.scan(np.array([1]), np.array([[0.0, 3.0]]))
+    assert tile.best()[2].tolist() == [64 * 10**12 * 192]
+
+
 def test_searches_of_few_and_no_vectors(spark):
     few = _vectors(spark, [(100, [1.0, 0.0]), (3, [0.5, 0.5]), (200, [1.0, 0.0])])
     assert len(_rows(tile_search.nearest(few))) == 4
