@@ -1,11 +1,15 @@
-"""Licence notices found through a positional index of the rarest words of their mandatory phrases.
+"""Licence notices found through a positional index of the templates' words.
 
-A notice is none without its phrases, so every place of one is looked at; there the template is laid
-over the text, with a few words put in or left out.
+Each word of a template has postings: the template, and the word's place in it. For every file and every template whose
+mandatory words it holds, the file's words of the highest inverse document frequency are looked up first;
+their postings meet by relative position, rarest first, until only the places are left where all words
+of a phrase stand as they do in the template. Windows around them that hold all mandatory phrases are
+compared with the whole template, words put in or left out being allowed for by a share of its length.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import defaultdict
@@ -70,10 +74,9 @@ TEMPLATES = {
         ("mozilla public license",),
     ),
 }
-# The share of a template's words that must stand in place.
+# The share of a template's words that must stand in their order, in a window that is longer than the
+# template by the same share at most.
 SHARE = 0.7
-# Words put in or left out may move the others, and a key phrase, this far from the template's place.
-SLACK_WORDS = 4
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,16 @@ class Template:
     words: tuple[bytes, ...]
     phrases: tuple[tuple[bytes, ...], ...]
 
+    @property
+    def window(self) -> int:
+        """How many words of a file a notice may be spread over."""
+        return math.ceil(len(self.words) / SHARE)
+
+    @property
+    def least(self) -> int:
+        """How many of its words must stand in order."""
+        return math.ceil(SHARE * len(self.words) - 1e-9)
+
 
 def _split(text: str) -> tuple[bytes, ...]:
     return tuple(WORD.findall(text.encode().lower()))
@@ -124,27 +137,26 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[in
 
 
 class Index:
-    """Postings (template, phrase, places) of the rarest word of each mandatory phrase, and the base phrases."""
+    """Postings (template, places) of the templates' words, with their rarity, and the base phrases."""
 
     def __init__(self, docs: int, frequency: dict[bytes, int]):
         self.templates = templates()
         self.base = [(_split(phrase), label) for phrase, label in BASE.items()]
-        # by word: template, phrase, place of the word in the phrase and of the phrase in the template
-        self.postings: dict[bytes, list[tuple[int, tuple[bytes, ...], int, int]]] = defaultdict(list)
-
-        def rarity(word: bytes) -> tuple[float, bytes]:
-            return (-math.log((docs + 1) / (frequency.get(word, 0) + 1)), word)
-
+        # by word and template: its places in the template
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, template in enumerate(self.templates):
-            for phrase in template.phrases:
-                word = min(phrase, key=rarity)
-                for place in range(len(template.words) - len(phrase) + 1):
-                    if template.words[place : place + len(phrase)] == phrase:
-                        self.postings[word].append((t, phrase, phrase.index(word), place))
+            for place, word in enumerate(template.words):
+                self.postings[word][t].append(place)
+        self.idf = {w: math.log((docs + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
+        self.mandatory = [frozenset(w for p in t.phrases for w in p) for t in self.templates]
+        # a bit for each place of a word, for comparing windows
+        self.bits = [
+            {w: sum(1 << i for i in self.postings[w][t]) for w in template.words}
+            for t, template in enumerate(self.templates)
+        ]
         self.starts = {words[0] for words, _ in self.base}
-        self.words = frozenset(self.postings) | self.starts
-        longest = max(len(t.words) for t in self.templates)
-        self.reach = longest + 2 * SLACK_WORDS
+        self.words = self.starts.union(*self.mandatory)
+        self.reach = max(t.window for t in self.templates)
 
     def scan(self, words: list[bytes], final: bool, seen: int) -> tuple[list, list]:
         """Base phrases (start, label) and templates (label, share) of a piece of a document.
@@ -155,47 +167,70 @@ class Index:
         if self.words.isdisjoint(words):
             return [], []
         last = len(words) if final else len(words) - self.reach
-        base, places = [], set()
+        places: dict[bytes, list[int]] = defaultdict(list)
         for at, word in enumerate(words):
-            if word not in self.words:
-                continue
-            if word in self.starts and seen <= at < last:
-                for phrase, label in self.base:
-                    if tuple(words[at : at + len(phrase)]) == phrase:
-                        base.append((at, label))
-            for t, phrase, inner, place in self.postings.get(word, ()):
-                begin = at - inner
-                if begin >= 0 and begin - place < last and tuple(words[begin : begin + len(phrase)]) == phrase:
-                    places.add((t, begin - place))
+            if word in self.words:
+                places[word].append(at)
+        base = []
+        for phrase, label in self.base:
+            for at in places.get(phrase[0], ()):
+                if seen <= at < last and tuple(words[at : at + len(phrase)]) == phrase:
+                    base.append((at, label))
         matches = []
-        for t, start in places:
-            template = self.templates[t]
-            low = max(0, start - SLACK_WORDS)
-            window = words[low : start + len(template.words) + SLACK_WORDS]
-            if not all(_holds(window, p) for p in template.phrases):
-                continue
-            share = _placed(template.words, window, start - low) / len(template.words)
-            if share >= SHARE:
-                matches.append((template.label, share))
+        for t, template in enumerate(self.templates):
+            if self.mandatory[t] <= places.keys():
+                share = self._best(t, words, places, seen, last)
+                if share:
+                    matches.append((template.label, share))
         return base, matches
 
-
-def _placed(template: tuple[bytes, ...], window: list[bytes], start: int) -> int:
-    """How many of the template's words stand in order, at most SLACK_WORDS from their place."""
-    best = [0] * (len(window) + 1)  # over the words of the window up to each
-    for i, wanted in enumerate(template):
-        row = best[:]
-        for j in range(len(window)):
-            if window[j] == wanted and abs(j - start - i) <= SLACK_WORDS:
-                row[j + 1] = max(row[j + 1], best[j] + 1)
-            row[j + 1] = max(row[j + 1], row[j])
-        best = row
-    return best[-1]
-
-
-def _holds(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
-    size = len(phrase)
-    return any(tuple(words[i : i + size]) == phrase for i in range(len(words) - size + 1))
+    def _phrase_places(self, t: int, phrase: tuple[bytes, ...], places: dict[bytes, list[int]]) -> list[int]:
+        """Where the phrase stands in the file: the postings of its words, rarest first, by relative position."""
+        starts: set[int] | None = None
+        for word in sorted(set(phrase), key=lambda w: (-self.idf[w], len(places[w]), w)):
+            inner = [i for i, w in enumerate(phrase) if w == word]
+            for i in inner:
+                here = {at - i for at in places[word]}
+                starts = here if starts is None else starts & here
+            if not starts:
+                return []
+        return sorted(at for at in starts if at >= 0)
+
+    def _best(self, t: int, words: list[bytes], places: dict[bytes, list[int]], seen: int, last: int) -> float:
+        """The largest share of a template in a window that holds its phrases; 0 below SHARE."""
+        template = self.templates[t]
+        found = []
+        for phrase in sorted(template.phrases, key=lambda p: -max(self.idf[w] for w in p)):
+            at = self._phrase_places(t, phrase, places)
+            if not at:
+                return 0.0
+            found.append((at, len(phrase)))
+        size, best = template.window, 0
+        done = seen
+        for at in found[0][0]:
+            # windows with this occurrence in them that have not been looked at
+            for start in range(max(done, at + found[0][1] - size), min(at, last - 1) + 1):
+                inside = all(
+                    i < len(where) and where[i] + length <= start + size
+                    for where, length in found
+                    for i in [bisect.bisect_left(where, start)]
+                )
+                if inside:
+                    best = max(best, _in_order(self.bits[t], len(template.words), words[start : start + size]))
+                    if best == len(template.words):
+                        return 1.0
+            done = max(done, min(at, last - 1) + 1)
+        return best / len(template.words) if best >= template.least else 0.0
+
+
+def _in_order(bits: dict[bytes, int], size: int, window: list[bytes]) -> int:
+    """How many of a template's words stand in a window in their order, at most: the longest common
+    subsequence, a row of its table being the bits of one number."""
+    row = every = (1 << size) - 1
+    for word in window:
+        own = row & bits.get(word, 0)
+        row = (row + own | row - own) & every
+    return size - row.bit_count()
 
 
 def _pieces(data: bytes) -> Iterator[tuple[list[bytes], bool]]:
@@ -223,8 +258,7 @@ def scan_text(index: Index, text: str | None) -> tuple:
         matches += labels
         if not final:
             last = max(looked, len(buffer) - index.reach)
-            keep = max(0, last - SLACK_WORDS)
-            buffer, looked = buffer[keep:], last - keep
+            buffer, looked = buffer[last:], 0
     base_labels = {label for _, label in base}
     return (
         total,
