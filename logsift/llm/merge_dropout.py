@@ -37,6 +37,7 @@ PIECE_CHARS = 1 << 20
 DROPOUT = 0.1
 SEED = 2024
 _NONE = np.iinfo(np.int64).max
+_SPAN = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,10 +110,10 @@ class Merger:
     def skipped(self, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
         if self.never:
             return np.zeros(np.shape(start), dtype=bool)
+        # three places of a chunk of any length, each with a multiplier of its own, then one mixing
         with np.errstate(over="ignore"):
-            h = _mix(key + start.astype(np.uint64))
-            h = _mix(h + mid.astype(np.uint64))
-            return _mix(h + end.astype(np.uint64)) < self.limit
+            spans = start.astype(np.uint64) * _SPAN[0] + mid.astype(np.uint64) * _SPAN[1]
+            return _mix(key + spans + end.astype(np.uint64) * _SPAN[2]) < self.limit
 
     def merge(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks one after the other, and how many each has."""
@@ -145,24 +146,28 @@ class Merger:
         text = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         sizes = np.array([len(c) for c in chunks])
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        word = np.repeat(np.arange(len(chunks)), sizes)
-        sym = self.v.characters[text].astype(np.int64)
-        start = np.arange(text.size)
-        end = start + 1
+        # narrow numbers: most of the time goes into moving them together
+        word = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
+        sym = self.v.characters[text]
+        start = np.arange(text.size, dtype=np.int32)
+        end = start + np.int32(1)
 
         def candidates(at: np.ndarray, sym, word, start, end) -> tuple[np.ndarray, np.ndarray]:
             """Order key and piece of the merges of the symbols at the places with their next."""
-            order, piece = np.full(at.size, _NONE), np.full(at.size, -1, dtype=np.int64)
+            order, piece = np.full(at.size, _NONE), np.full(at.size, -1, dtype=np.int32)
             inner = at < sym.size - 1
             inner[inner] = word[at[inner]] == word[at[inner] + 1]
             i = at[inner]
             made = self.v.merged(sym[i], sym[i + 1])
             own = word[i]
-            good = made >= 0
-            good &= ~self.skipped(keys[own], start[i] - first[own], end[i] - first[own], end[i + 1] - first[own])
-            found = np.where(good, self.v.rank[made] * (LONG + 1) + (start[i] - first[own]), _NONE)
-            order[inner] = found
-            piece[inner] = made
+            good = np.flatnonzero(made >= 0)
+            i, own, made = i[good], own[good], made[good]
+            begin = first[own]
+            low = start[i] - begin
+            kept = ~self.skipped(keys[own], low, end[i] - begin, end[i + 1] - begin)
+            place = np.flatnonzero(inner)[good[kept]]
+            order[place] = self.v.rank[made[kept]] * (LONG + 1) + low[kept]
+            piece[place] = made[kept]
             return order, piece
 
         order, piece = candidates(np.arange(sym.size), sym, word, start, end)
