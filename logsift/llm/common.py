@@ -106,13 +106,17 @@ def gathered(flat: np.ndarray, offset: np.ndarray, width: np.ndarray, rows: np.n
 
 def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of some texts, the words in order as places among them, and the place in
-    that order where each text's words begin, with the end."""
+    that order where each text's words begin, with the end. The empty word may be among the distinct ones,
+    where white space is at the ends of a text; it is none of the words in order."""
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten()
-    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # at the ends of a text
-    coded = (words if full.all() else words.filter(pa.array(full))).dictionary_encode()
-    begins = np.concatenate([[0], np.cumsum(full)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), begins
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    coded = words.dictionary_encode()
+    places, found = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    if "" not in found:
+        return found, places, offsets
+    full = places != found.index("")
+    return found, places[full], np.concatenate([[0], np.cumsum(full)])[offsets]
 
 
 # --- numbers on their way ------------------------------------------------------------------------------
