@@ -1,8 +1,10 @@
 """One document of each group of near copies, by exact similarity of five-word shingles.
 
-Candidates share a band of min-hashes: two sets of similarity 0.8 do with a probability of
-1 - (1 - 0.8**5)**24, all but one in ten thousand. The similarity of candidates is then computed from
-their whole sets of shingles, and only pairs that reach it are linked.
+Candidates come in two ways. SimHash fingerprints that the generalised pigeonhole links (`simhash`) find copies
+that differ little. At a similarity of 0.8 fingerprints differ in ten bits and more, which no probing
+reaches; so candidates are also those that share a band of min-hashes: two sets of similarity 0.8 do
+with a probability of 1 - (1 - 0.8**5)**24, all but one in ten thousand. The similarity of candidates
+is then computed from their whole sets of shingles, and only pairs that reach it are linked.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.llm import simhash
 from logsift.llm.common import distinct_words, give_back_memory, row_keys, small_batches, written
 from logsift.llm.components import components
 from logsift.llm.word_model import keys
 
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+# Bits that fingerprints of candidates may differ in.
+TAU = 3
 SEED = 42
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,11 +120,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.filter(F.col("shared") >= F.lit(similarity) * union - 1e-9).select("u", "v")
 
 
+def _by_fingerprints(docs: DataFrame, nodes: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
+    """(node, size, head) of the nodes whose fingerprints are linked; head is the first of their class."""
+    fps = simhash.fingerprints(docs, shingle, False, id_column, text_column).select("k1", "k2", "fp", "fp2")
+    own = nodes.select("node", "size", "row.k1", "row.k2").join(fps.distinct(), ["k1", "k2"])
+    own = written(own.select("node", "size", "fp", "fp2"), "near-fps")
+    classes = simhash.linked_classes(own, TAU).select("fp", "label_fp")
+    named = written(own.join(classes, "fp").select("node", "size", "label_fp"), "near-classes")
+    firsts = named.groupBy("label_fp").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("many"))
+    return named.join(firsts.filter("many > 1"), "label_fp").select("node", "size", "head")
+
+
 def links(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
     """(u, v): links that connect whatever verified pairs of candidates connect.
 
-    In a first round every node of a band meets the first one there; large groups of copies are
-    connected by that. In a second all nodes of a band meet that are not connected yet.
+    In a first round every node of a class of fingerprints and of a band meets the first one there; large
+    groups of copies are connected by that. In a second all nodes of a band meet that are not connected yet.
     """
     nodes = found.filter("size > 0").groupBy("s1", "s2").agg(
         F.min(F.struct("k1", "k2")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")
@@ -128,14 +144,16 @@ def links(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, id
     listed = nodes.select("node", "size", F.explode("bands").alias("band"))
     firsts = listed.groupBy("band").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("many"))
     met = written(listed.join(firsts.filter("many > 1"), "band").select("band", "node", "size", "head"), "near-bands")
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
+    alike_bits = written(_by_fingerprints(docs, nodes, shingle, id_column, text_column), "near-alike")
+    asked = met.select("node").union(alike_bits.select("node")).distinct()
+    wanted = nodes.join(asked, "node", "left_semi")
     wanted = wanted.select("node", "row.k1", "row.k2")
     sets = written(_sets(docs, wanted, shingle, id_column, text_column), "near-sets")
 
     def alike(a: str, b: str):
         return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
-    stars = met.filter(alike("size", "head.size")).filter("node <> head.node")
+    stars = met.select("node", "size", "head").union(alike_bits).filter(alike("size", "head.size")).filter("node <> head.node")
     stars = stars.select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
     first = written(_verified(stars, sets, similarity), "near-links")
     labels = written(components(first), "near-labels")
