@@ -214,32 +214,80 @@ EVIDENCE_WORDS = [
 QUOTE_LENGTH = 20
 
 
+# A quote holds this many pieces of GRAM characters in a row; the one with the smallest hash stands for it.
+GRAM = 11
+WINDOW = QUOTE_LENGTH - GRAM + 1
+
+
+def minimisers(text: str) -> Column:
+    """(gram, left, right) of the pieces that stand for the quotes of a text, by winnowing.
+
+    Of every WINDOW pieces in a row the one with the smallest hash is taken, the first of equal ones. Two
+    texts with a common quote take the same piece of it, and of all pieces about two in eleven are taken.
+    left and right are what a quote may have on either side of the piece. A shorter text has none.
+    """
+    whole = F.col(text)
+
+    def gram(at: Column) -> Column:
+        return F.struct(F.xxhash64(F.substring(whole, at, F.lit(GRAM))).alias("h"), at.alias("at"))
+
+    def picked(grams: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(grams) - WINDOW + 1)
+        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, WINDOW))))
+
+    def shown(x: Column) -> Column:
+        before = F.greatest(x["at"] - WINDOW + 1, F.lit(1))
+        return F.struct(
+            F.substring(whole, x["at"], F.lit(GRAM)).alias("gram"),
+            F.substring(whole, before, x["at"] - before).alias("left"),
+            F.substring(whole, x["at"] + GRAM, F.lit(WINDOW - 1)).alias("right"),
+        )
+
+    # the outer function binds the pieces, so that they are not hashed anew for each window
+    every = F.transform(F.sequence(F.lit(1), F.length(whole) - GRAM + 1), gram)
+    found = F.transform(F.array(every), lambda grams: F.transform(picked(grams), shown))[0]
+    return F.when(F.length(whole) >= QUOTE_LENGTH, found)
+
+
+def _same_quote() -> Column:
+    """Whether both sides of a common piece agree for as long as a quote is."""
+
+    def agree(taken: Column) -> Column:
+        rest = F.lit(WINDOW - 1) - taken
+        return (
+            (F.length("s_left") >= taken)
+            & (F.length("o_left") >= taken)
+            & (F.length("s_right") >= rest)
+            & (F.length("o_right") >= rest)
+            & (F.right("s_left", taken) == F.right("o_left", taken))
+            & (F.left("s_right", rest) == F.left("o_right", rest))
+        )
+
+    return F.exists(F.sequence(F.lit(0), F.lit(WINDOW - 1)), agree)
+
+
 def quote_evidence_check(findings: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Findings that name such a word, and whether they quote a sample line that holds it.
 
     A quote is any 20 characters of the issue that stand in one of the template's sample lines,
-    of which there are a fixed few. The 20-character pieces of both meet in a join, so the work
-    grows with the lengths of issue and samples, not with their product.
+    of which there are a fixed few. The pieces that stand for the quotes of both meet in a join, and what
+    is around them is compared; so the work grows with the lengths of issue and samples, not with their
+    product, and few of their pieces are shuffled.
     """
     words = "|".join(EVIDENCE_WORDS)
     claims = findings.filter(F.rlike("issue", F.lit(words)))
-
-    def pieces(text: str) -> Column:
-        """Its distinct pieces; a text that is shorter has none."""
-        last = F.length(text) - QUOTE_LENGTH + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(
-            F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(QUOTE_LENGTH)))
-        )
-
-    said = claims.select("id", "run_id", "template_hash", F.explode(pieces("issue")).alias("piece"))
+    keys = ["run_id", "template_hash", "gram"]
+    said = claims.select("id", "run_id", "template_hash", F.inline(minimisers("issue"))).distinct()
+    said = said.withColumnsRenamed({"left": "s_left", "right": "s_right"})
     shown = (
         occurrences.select("run_id", "template_hash", F.explode("exemplar_lines").alias("sample"))
         .join(claims.select("run_id", "template_hash").distinct(), ["run_id", "template_hash"], "left_semi")
         .filter(F.rlike("sample", F.lit(words)))
-        .select("run_id", "template_hash", F.explode(pieces("sample")).alias("piece"))
+        .select("run_id", "template_hash", F.inline(minimisers("sample")))
+        .distinct()
+        .withColumnsRenamed({"left": "o_left", "right": "o_right"})
     )
-    quoting = said.join(shown, ["run_id", "template_hash", "piece"], "left_semi").select("id").distinct()
+    quoting = said.join(shown, keys).filter(_same_quote()).select("id").distinct()
     return claims.join(quoting.withColumn("_found", F.lit(True)), "id", "left").select(
         "id", "run_id", "template_hash", F.coalesce("_found", F.lit(False)).alias("has_evidence")
     )

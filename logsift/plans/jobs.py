@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsift.functions.identity import add_logger, add_service
 from logsift.functions.masking import normalize_lines
 from logsift.operators import buckets, cost, findings, history, lifecycle, templates, triage
+from logsift.sources import streams
 from logsift.sources.snapshots import DAY_SECONDS
 from logsift.sources.tables import Tables, hash_range
 
@@ -61,8 +62,31 @@ def collect(
     had or has templates in are rebuilt from the occurrences instead of being added to.
     """
     tables.start_runs(runs)
+    _collect(tables, run_entries(lines, runs), runs, limits)
+
+
+def collect_buckets(
+    tables: Tables, paths: dict[str, str], runs: DataFrame, limits: dict[str, int] | None = None
+) -> None:
+    """The same from folders of lines that were selected bucket by bucket before.
+
+    A bucket that is missing or can't be read, or files of it, don't end the run: what could be
+    read counts, and what could not is recorded for every run.
+    """
+    spark = tables.spark
+    tables.start_runs(runs)
+    covered = _ids(runs)
+    losses = streams.bucket_losses(spark, paths).collect()  # a row a bucket
+    found = spark.createDataFrame(losses, "bucket string, state string, files bigint, broken_files bigint, lost_rows bigint")
+    of_runs = covered.withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in paths]))).join(found, "bucket")
+    tables.replace_runs("bucket_loss", of_runs, covered)
+    order = F.create_map(*[F.lit(x) for pair in zip(buckets.BUCKETS, range(len(buckets.BUCKETS))) for x in pair])
+    lines = streams.bucket_fallback(spark, paths, found).withColumn("bucket_ord", order[F.col("bucket")])
+    _collect(tables, add_service(templates.lines_of_runs(lines, runs)), runs, limits)
+
+
+def _collect(tables: Tables, entries: DataFrame, runs: DataFrame, limits: dict[str, int] | None) -> None:
     covered = _ids(runs)
-    entries = run_entries(lines, runs)
     if limits is not None:
         kept = buckets.bucket_limit(entries, limits)
         tables.replace_runs("bucket_count", buckets.limit_counts(entries, limits), covered)

@@ -525,6 +525,17 @@ def all_oracles() -> dict[str, str]:
     q["bucket_fallback"] = (
         "select bucket, job, ts_ns, line from tagged where bucket in ('errors', 'system_issues')"
     )
+    q["bucket_losses"] = """select bucket, state, files, broken_files, 0 as lost_rows,
+        (select count(*) from tagged t where t.bucket = v.bucket and v.state = 'partly') as lines
+      from (values ('critical_fatal', 'missing', 0, 0), ('errors', 'partly', 4, 1),
+        ('warnings', 'unreadable', 1, 1), ('system_issues', 'missing', 0, 0)) as v(bucket, state, files, broken_files)"""
+    late = EPOCH_NS + 12 * DAY_NS
+    # the watermark is in milliseconds, an hour behind the newest line of the first batch
+    q["stream_late_lines"] = f"""select count(*) as entries, count(*) - count(*) filter (late) as counted,
+        count(*) filter (late) as late
+      from (select ts_ns < {late} and (ts_ns // {DAY_NS} + 1) * {DAY_NS} <= (
+          select max(ts_ns) // 1000000 * 1000000 - 3600000000000 from tagged where ts_ns >= {late}) as late
+        from tagged)"""
     # Entries of events that have no readable time are responses too, and so are those without a line.
     q["failed_responses"] = """select
         (select count(*) from events) + (select count(*) from lines) - (select count(*) from event_lines) as responses,

@@ -25,6 +25,7 @@ from logsift.operators import (
 from logsift.plans import jobs
 from logsift.session import configure, fresh_folder
 from logsift.sources import adapters, streams
+from logsift.sources.snapshots import Folder
 from logsift.sources.tables import Tables
 from logsift.streaming import jobs as streaming
 
@@ -36,6 +37,7 @@ FIRST_END_NS = adapters.EPOCH_NS + DAY_NS
 TIGHT_LIMITS = {"critical_fatal": 8, "errors": 12, "warnings": 5, "system_issues": 20}
 PROMPT_LIMIT = 25
 BUDGET = 5.0
+LATE_NS = adapters.EPOCH_NS + 12 * DAY_NS
 FROM, TO = "2024-01-05 06:30:00", "2024-01-20 18:00:00"
 
 _recorded: dict[tuple[str, str], Tables] = {}
@@ -188,6 +190,18 @@ def q_bucket_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bucket", "job", "ts_ns", "line")
 
 
+def q_bucket_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bucket with a broken file among others, one of broken files alone, two that are missing."""
+    root = fresh_folder(spark, "buckets")
+    buckets.bucket(_lines(spark, sf_dir), "errors").repartition(3).write.parquet(f"{root}/errors")
+    for name in ("errors", "warnings"):
+        Folder(spark, f"{root}/{name}").create("PAR1 cut off", "part-cut-off.parquet")
+    paths = {b: f"{root}/{b}" for b in buckets.BUCKETS}
+    losses = streams.bucket_losses(spark, paths)
+    kept = streams.bucket_fallback(spark, paths, losses).groupBy("bucket").agg(F.count("*").alias("lines"))
+    return losses.join(kept, "bucket", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
 # --- filters --------------------------------------------------------------------------------
 
 
@@ -689,6 +703,22 @@ def q_stream_template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.read_windows(spark, f"{root}/out")
 
 
+def q_stream_late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later lines come first, so that many of the earlier ones miss their windows."""
+    root = fresh_folder(spark, "stream")
+    lines, files = _lines(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part, which in (("newer", F.col("ts_ns") >= LATE_NS), ("older", F.col("ts_ns") < LATE_NS)):
+        lines.filter(which).repartition(files).write.parquet(f"{root}/in/{part}")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in/*")
+    arrivals = streaming.Arrivals(spark, f"{root}/arrivals")
+    result = streaming.stream_template_counts(source, arrivals=arrivals)
+    _finished(streaming.write_windows(result, f"{root}/out", f"{root}/state"))
+    arrivals.close()
+    return streaming.late_lines(spark, f"{root}/out", f"{root}/arrivals").agg(
+        *[F.sum(c).alias(c) for c in ("entries", "counted", "late")]
+    )
+
+
 def q_stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_folder(spark, "stream")
     panes = streaming.stream_template_counts(_line_stream(spark, sf_dir), "8 hours")

@@ -47,6 +47,9 @@ LOG_TEMPLATE = _table(
     total_count=_LONG,
 )
 BUCKET_COUNT = _table(run_id=_LONG, bucket=_TEXT, kept=_LONG, dropped=_LONG)
+BUCKET_LOSS = _table(
+    run_id=_LONG, bucket=_TEXT, state=_TEXT, files=_LONG, broken_files=_LONG, lost_rows=_LONG
+)
 VERDICT_EVENT = _table(
     template_hash=_TEXT, classification=_TEXT, note=_TEXT, set_by=_TEXT, set_at=_TIME
 )

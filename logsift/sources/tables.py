@@ -32,6 +32,7 @@ SCHEMAS = {
     "finding": schemas.FINDING,
     "api_call": schemas.API_CALL,
     "bucket_count": schemas.BUCKET_COUNT,
+    "bucket_loss": schemas.BUCKET_LOSS,
     "prompt_selection": schemas.PROMPT_SELECTION,
     "model_report": schemas.MODEL_RESPONSE_ROW,
     "resolved_finding": schemas.RESOLVED_FINDING,
@@ -42,6 +43,7 @@ BY_RUN = {
     "template_occurrence": "run_id",
     "finding": "run_id",
     "bucket_count": "run_id",
+    "bucket_loss": "run_id",
     "prompt_selection": "run_id",
     "model_report": "run_id",
     "resolved_finding": "run_id",

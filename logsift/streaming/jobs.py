@@ -1,18 +1,24 @@
 """Structured Streaming jobs over a stream of log lines.
 
 Each takes lines with ``job, labels, ts_ns, line`` and works for an endless source as well as for
-one that ends. Late lines are dropped once the watermark has passed their window; the number
-dropped is in the progress of the query.
+one that ends. Late lines are dropped once the watermark has passed their window; how many is
+known where the arrivals are written down.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import threading
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from logsift.operators.buckets import tag_buckets
 from logsift.operators.templates import IDENTITY, ns_to_timestamp, templated, with_hash
+from logsift.sources.snapshots import Folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -22,9 +28,77 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def templated_stream(lines: DataFrame, watermark: str) -> DataFrame:
+class Arrivals(StreamingQueryListener):
+    """Writes down how many entries each micro-batch of a stream brought.
+
+    Counts of dropped rows in the progress of a query are those after the first sums of each task,
+    not lines. So entries are counted before they are summed, and what the windows do not hold of them
+    came too late. One small file for each micro-batch, under its number: a replayed one writes the
+    same again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.folder = spark, Folder(spark, path)
+        self.name = f"arrived_{uuid.uuid4().hex}"
+        self.ended = threading.Event()
+        spark.streams.addListener(self)
+
+    def counted(self, entries: DataFrame) -> DataFrame:
+        return entries.observe(self.name, F.count(F.lit(1)).alias("entries"))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        found = progress.observedMetrics.get(self.name)
+        if found is not None:
+            row = {
+                "batch_id": progress.batchId,
+                "entries": found["entries"] or 0,
+                "dropped_rows": sum(s.numRowsDroppedByWatermark for s in progress.stateOperators),
+                "watermark": progress.eventTime.get("watermark"),
+            }
+            self.folder.create(json.dumps(row) + "\n", f"{progress.batchId:012d}.json")
+            self.query = progress.id
+
+    def onQueryTerminated(self, event) -> None:
+        if getattr(self, "query", event.id) == event.id:
+            self.ended.set()
+
+    def close(self, seconds: float = 60) -> None:
+        """Waits for what the query has told before it ended, and stops listening."""
+        self.ended.wait(seconds)
+        self.spark.streams.removeListener(self)
+
+
+ARRIVAL = "batch_id bigint, entries bigint, dropped_rows bigint, watermark string"
+
+
+def late_lines(spark: SparkSession, path: str, arrivals: str) -> DataFrame:
+    """(batch_id, entries, counted, late): of every micro-batch, how many of its entries no window holds.
+
+    path: the windows as write_windows leaves them. A window is given out with all it holds so far,
+    so what a batch has added to it is the difference to the time before.
+    """
+    keys = ["window_start", "window_end", "template_hash", *IDENTITY]
+    before = F.lag("count", 1, 0).over(Window.partitionBy(*keys).orderBy("batch_id"))
+    grown = spark.read.parquet(path).withColumn("added", F.col("count") - before)
+    counted = grown.groupBy("batch_id").agg(F.sum("added").alias("counted"))
+    told = spark.read.schema(ARRIVAL).json(arrivals)
+    met = told.join(counted, "batch_id", "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
+    return met.select("batch_id", "entries", "counted", (F.col("entries") - F.col("counted")).alias("late"))
+
+
+def templated_stream(lines: DataFrame, watermark: str, arrivals: Arrivals | None = None) -> DataFrame:
     """Bucket entries with identity, template and event time."""
-    timed = templated(tag_buckets(lines)).withColumn("ts", ns_to_timestamp("ts_ns"))
+    entries = tag_buckets(lines)
+    if arrivals is not None:
+        entries = arrivals.counted(entries)
+    timed = templated(entries).withColumn("ts", ns_to_timestamp("ts_ns"))
     return timed.withWatermark("ts", watermark)
 
 
@@ -46,10 +120,13 @@ def _window_counts(stream: DataFrame, window) -> DataFrame:
 
 
 def stream_template_counts(
-    lines: DataFrame, every: str = "1 day", watermark: str = "1 hour"
+    lines: DataFrame, every: str = "1 day", watermark: str = "1 hour", arrivals: Arrivals | None = None
 ) -> DataFrame:
-    """Templates per window of fixed length; a window is given out anew whenever it has grown."""
-    return _window_counts(templated_stream(lines, watermark), F.window("ts", every))
+    """Templates per window of fixed length; a window is given out anew whenever it has grown.
+
+    With arrivals the entries of every micro-batch are counted, so that late ones can be told (late_lines).
+    """
+    return _window_counts(templated_stream(lines, watermark, arrivals), F.window("ts", every))
 
 
 def sliding_counts(panes: DataFrame, every_hours: int, lookback_hours: int) -> DataFrame:

@@ -282,6 +282,32 @@ def test_broken_responses_are_counted_and_unreadable_buckets_are_empty(spark):
     }
 
 
+def test_a_broken_page_costs_one_file(spark):
+    """Of three files one has a page that can't be decoded: the other two count, and the loss is recorded."""
+    root = fresh_folder(spark, "buckets")
+    lines = log(spark, *[(h / 10, f"disk {h} lost") for h in range(90)])
+    lines.repartition(3).write.parquet(f"{root}/errors")
+    names = sorted(n for n in os.listdir(f"{root}/errors") if n.endswith(".parquet"))
+    whole = spark.read.parquet(f"{root}/errors/{names[1]}").count()
+    with open(f"{root}/errors/{names[1]}", "r+b") as file:
+        file.seek(30)  # within the first page; the footer stays as it is
+        file.write(b"\xff" * 60)
+    os.remove(f"{root}/errors/.{names[1]}.crc")
+    paths = {name: f"{root}/{name}" for name in buckets.BUCKETS}
+    rows = {r["bucket"]: tuple(r)[1:] for r in streams.bucket_losses(spark, paths).collect()}
+    assert rows["errors"] == ("partly", 3, 1, whole) and rows["warnings"] == ("missing", 0, 0, 0)
+    assert streams.bucket_fallback(spark, paths).count() == 90 - whole
+    tables = fresh(spark)
+    jobs.collect_buckets(tables, paths, run_rows(spark, (1, 0, 24), (2, 24, 48)))
+    assert table(tables, "template_occurrence", "run_id", "count") == [(1, 90 - whole)]
+    assert table(tables, "bucket_loss", "run_id", "bucket", "state", "lost_rows") == sorted(
+        (run, bucket, *(("partly", whole) if bucket == "errors" else ("missing", 0))) for run in (1, 2) for bucket in buckets.BUCKETS
+    )
+    other = fresh(spark)
+    jobs.collect(other, lines.limit(0), run_rows(spark, (1, 0, 24)))
+    assert table(other, "bucket_loss", "run_id") == []
+
+
 def test_evidence_takes_linear_time_and_needs_a_quote(spark):
     sample = "worker 7 panic: index out of range in stage two"
     issues = [
@@ -297,3 +323,29 @@ def test_evidence_takes_linear_time_and_needs_a_quote(spark):
 
     found = quote_evidence_check(spark.createDataFrame(rows, schemas.FINDING), known)
     assert {r["id"]: r["has_evidence"] for r in found.collect()} == {0: True, 1: False, 2: False, 3: True}
+
+
+def test_winnowing_finds_every_quote(spark):
+    """Random texts over two letters, where pieces repeat and tie, against a plain search."""
+    import random
+
+    from logsift.operators.findings import QUOTE_LENGTH, minimisers, quote_evidence_check
+
+    random.seed(4)
+    rows, samples = [], []
+    for i in range(150):
+        quote = "".join(random.choice("ab") for _ in range(random.choice([19, 20, 21, 40])))
+        issue = "panic: " + "".join(random.choice("ab") for _ in range(random.randrange(30))) + quote
+        sample = "".join(random.choice("abc") for _ in range(random.randrange(40))) + quote[: random.choice([19, 20, 99])] + " panic:"
+        rows.append((i, 1, f"h{i}", "HIGH", issue, None, "new"))
+        samples.append((1, f"h{i}", [sample, "panic: other"]))
+    known = spark.createDataFrame(samples, "run_id bigint, template_hash string, exemplar_lines array<string>")
+    found = quote_evidence_check(spark.createDataFrame(rows, schemas.FINDING), known)
+    got = {r["id"]: r["has_evidence"] for r in found.collect()}
+    for (i, *_, issue, _, _), (_, _, lines) in zip(rows, samples):
+        quotes = {issue[j : j + QUOTE_LENGTH] for j in range(len(issue) - QUOTE_LENGTH + 1)}
+        assert got[i] == any(q in line for q in quotes for line in lines)
+    assert 20 < sum(got.values()) < 130
+    long = spark.createDataFrame([("".join(random.choice("abcdefgh ") for _ in range(20_000)),), ("short",)], "t string")
+    counts = [r[0] for r in long.select(F.size(minimisers("t"))).collect()]
+    assert 0 < counts[0] < 20_000 / 5 and counts[1] in (None, -1)

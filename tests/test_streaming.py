@@ -81,6 +81,27 @@ def test_windows_equal_the_batch_and_late_lines_are_dropped(spark):
     assert counts(jobs.read_windows(spark, f"{root}/compact")) == counts(jobs.read_windows(spark, f"{root}/out"))
 
 
+def test_late_lines_are_counted_for_every_batch(spark):
+    root = fresh_folder(spark, "test")
+
+    def run():
+        arrivals = jobs.Arrivals(spark, f"{root}/arrivals")
+        lines = source(spark, f"{root}/in")
+        result = jobs.stream_template_counts(lines, watermark="2 hours", arrivals=arrivals)
+        jobs.write_windows(result, f"{root}/out", f"{root}/state").awaitTermination()
+        arrivals.close()
+        rows = jobs.late_lines(spark, f"{root}/out", f"{root}/arrivals").filter("entries > 0").orderBy("batch_id")
+        return [(r["entries"], r["counted"], r["late"]) for r in rows.collect()]
+
+    add(spark, f"{root}/in", [line(h, f"request {h} failed") for h in (1, 2, 3, 30)])
+    assert run() == [(4, 4, 0)]
+    # many late lines of one template are one row to the state; the lines are counted
+    add(spark, f"{root}/in", [line(4, "request 9 failed", n) for n in range(50)] + [line(31, "request 1 failed")])
+    assert run() == [(4, 4, 0), (51, 1, 50)]
+    add(spark, f"{root}/in", [line(5, "request 9 failed"), line(29, "request 2 failed"), line(32, "fan 1 slow")])
+    assert run() == [(4, 4, 0), (51, 1, 50), (3, 2, 1)]
+
+
 def test_sliding_windows_add_up_their_panes(spark):
     root = fresh_folder(spark, "test")
     add(spark, f"{root}/in", [line(h, f"request {h} failed", h) for h in range(0, 60)])
