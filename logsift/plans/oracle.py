@@ -533,7 +533,7 @@ def all_oracles() -> dict[str, str]:
     # the watermark is in milliseconds, an hour behind the newest line of the first batch
     q["stream_late_lines"] = f"""select count(*) as entries, count(*) - count(*) filter (late) as counted,
         count(*) filter (late) as late
-      from (select ts_ns < {late} and (ts_ns // {DAY_NS} + 1) * {DAY_NS} <= (
+      from (select ts_ns < {late - DAY_NS} and (ts_ns // {DAY_NS} + 1) * {DAY_NS} <= (
           select max(ts_ns) // 1000000 * 1000000 - 3600000000000 from tagged where ts_ns >= {late}) as late
         from tagged)"""
     # Entries of events that have no readable time are responses too, and so are those without a line.

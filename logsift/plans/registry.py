@@ -704,10 +704,15 @@ def q_stream_template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The later lines come first, so that many of the earlier ones miss their windows."""
+    """The later lines come first, so that many of the earlier ones miss their windows.
+
+    A micro-batch drops what the one before it already took for late, so a day lies between the two.
+    """
     root = fresh_folder(spark, "stream")
     lines, files = _lines(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for part, which in (("newer", F.col("ts_ns") >= LATE_NS), ("older", F.col("ts_ns") < LATE_NS)):
+    ts = F.col("ts_ns")
+    parts = {"newer": ts >= LATE_NS, "between": ts.between(LATE_NS - DAY_NS, LATE_NS - 1), "older": ts < LATE_NS - DAY_NS}
+    for part, which in parts.items():
         lines.filter(which).repartition(files).write.parquet(f"{root}/in/{part}")
     source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in/*")
     arrivals = streaming.Arrivals(spark, f"{root}/arrivals")
