@@ -304,3 +304,51 @@ def resampled(
     rows = weighed(docs, gain, id_column, text_column)
     scored = rows.withColumn("score", F.col("weight") + random_key(F.col("doc"), seed))
     return drawn(written(scored, "weights"), percent, min_words)
+
+
+# The same with checksums byte by byte, for a second engine.
+ORACLE = """
+WITH t AS (
+  SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                          b) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256)) AS b)
+), w AS (
+  SELECT 0 AS target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), r AS (
+  SELECT target, doc_id, array_to_string(words[i:i + size - 1], ' ') AS feature
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i
+        FROM w, (SELECT unnest([1, 2, 3]) AS size))
+), n AS (SELECT target, doc_id, feature, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM n)),
+b AS (
+  SELECT feature, xor(list_reduce(
+      list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+      lambda c, v: xor(c >> 8, crc[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM h, t
+), s AS (
+  SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t
+  FROM n JOIN b USING (feature) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                                 / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM s
+), weights AS (
+  SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features
+  FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE target = 0 GROUP BY doc_id
+), scored AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT)
+             + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights USING (doc_id) WHERE w.target = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_words >= 20) OVER () AS many
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 5 * many // 100 THEN place END AS rank
+FROM placed
+"""

@@ -171,5 +171,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def all_oracles() -> dict[str, str]:
     return {
         "op2_line_spread": line_spread.ORACLE.format(docs="documents", min_sites=line_spread.MIN_SITES),
+        "op11_suffix_dedup": suffix_dedup.ORACLE,
         "op12_filter_audit": filter_audit.ORACLE,
+        "op13_importance_resampling": importance.ORACLE,
     }

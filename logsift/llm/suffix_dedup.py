@@ -451,3 +451,37 @@ def without_repeats(
         F.col("text").alias("kept"),
     )
     return found.unionByName(unnamed)
+
+
+# The same by all strings of the length, for a second engine; bytes as two hex digits.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (  -- a thousand bytes at a time, as a place in a long string is found by counting
+  SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS c
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM d)
+), p AS (
+  SELECT doc_id, 1000 * k + j AS i, substr(c, 2 * j + 1, 100) AS s
+  FROM (SELECT doc_id, k, c, unnest(range(0, len(c) // 2 - 49)) AS j FROM c)
+), f AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s),
+hits AS (SELECT doc_id, i FROM p JOIN f USING (s) WHERE least < doc_id),
+edges AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new
+  FROM hits
+), runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+borders AS (
+  SELECT doc_id, b AS low FROM spans UNION ALL SELECT doc_id, 0 FROM d
+), pieces AS (
+  SELECT doc_id, low, coalesce(min(a), -1) AS high
+  FROM borders LEFT JOIN spans USING (doc_id) WHERE a >= low OR a IS NULL GROUP BY doc_id, low
+  UNION ALL
+  SELECT doc_id, max(low), -1 FROM borders GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(CASE WHEN high < 0 THEN substr(h, 2 * low + 1)
+                                 ELSE substr(h, 2 * low + 1, 2 * (high - low)) END, '' ORDER BY low, high) AS k
+  FROM (SELECT DISTINCT doc_id, low, high FROM pieces) JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS m FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(m, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
