@@ -12,8 +12,17 @@ from logsift.operators import history
 from logsift.plans import jobs
 from logsift.session import fresh_folder
 from logsift.sources import snapshots
+from logsift.sources import tables as module
 from logsift.sources.snapshots import Log, Part
-from logsift.sources.tables import FEW, HISTORY, RANGE, Tables
+from logsift.sources.tables import HISTORY, RANGE, Tables
+
+FEW = 3  # parts of a size, so that a few writes are enough
+
+
+@pytest.fixture(autouse=True)
+def few(monkeypatch):
+    monkeypatch.setattr(module, "FEW", FEW)
+
 
 NOON = datetime(2031, 5, 6, 12)
 
@@ -74,15 +83,15 @@ def test_a_snapshot_is_taken_once_and_the_loser_tries_again(spark):
 def test_many_writes_leave_a_bounded_number_of_files(spark):
     tables = fresh(spark)
     run = spark.createDataFrame([(1, NOON, NOON, NOON, None, None, "running", None)], schemas.RUN)
-    for n in range(30):
+    for n in range(14):
         tables.put_runs(run.withColumn("total_events", F.lit(n).cast("bigint")))
         tables.append_api_calls(calls(spark, range(10 * n, 10 * n + 10)))
-        if n % 10 == 9:
+        if n % 7 == 6:
             jobs.tidy(tables, grace=0)
-    assert tables.read("run").first()["total_events"] == 29 and ids(tables) == list(range(300))
+    assert tables.read("run").first()["total_events"] == 13 and ids(tables) == list(range(140))
     assert len(files(tables, "run")) <= 3
     parts = tables.parts("api_call")
-    assert len(parts) < 2 * FEW and sum(p.rows for p in parts) == 300
+    assert len(parts) < 2 * FEW and sum(p.rows for p in parts) == 140
     assert len(files(tables, "api_call")) <= len(parts) + 2
 
 
@@ -91,23 +100,23 @@ def test_readers_of_older_snapshots_are_not_disturbed(spark):
     for n in range(3):
         tables.append_api_calls(calls(spark, range(5 * n, 5 * n + 5)))
     reader, number = tables.read("api_call"), tables.log("api_call").numbers()[-1]
-    for n in range(3, 12):
+    for n in range(3, 7):
         tables.append_api_calls(calls(spark, range(5 * n, 5 * n + 5)))
     assert jobs.tidy(tables, grace=3600) == 0
-    assert reader.count() == 15 and ids(tables, number) == list(range(15)) and len(ids(tables)) == 60
+    assert reader.count() == 15 and ids(tables, number) == list(range(15)) and len(ids(tables)) == 35
     assert jobs.tidy(tables, grace=0) > 0
-    assert len(ids(tables)) == 60 and tables.log("api_call").numbers() == [tables.log("api_call").snapshot().number]
+    assert len(ids(tables)) == 35 and tables.log("api_call").numbers() == [tables.log("api_call").snapshot().number]
 
 
 def test_a_clean_up_that_fails_half_way_loses_nothing(spark, monkeypatch):
     tables = fresh(spark)
-    for n in range(12):
+    for n in range(7):
         tables.append_api_calls(calls(spark, [n]))
     tables._write("api_call", calls(spark, [99]))  # left by a writer that died
     whole, done = snapshots.Folder.delete, []
 
     def failing(self, *names):
-        if len(done) == 14:
+        if len(done) == 9:
             raise OSError("the store is away")
         done.append(names)
         whole(self, *names)
@@ -115,10 +124,10 @@ def test_a_clean_up_that_fails_half_way_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(snapshots.Folder, "delete", failing)
     with pytest.raises(OSError):
         jobs.tidy(tables, grace=0)
-    assert ids(tables) == list(range(12))
+    assert ids(tables) == list(range(7))
     monkeypatch.setattr(snapshots.Folder, "delete", whole)
     assert jobs.tidy(tables, grace=0) > 0
-    assert ids(tables) == list(range(12))
+    assert ids(tables) == list(range(7))
     named = {p.version for p in tables.parts("api_call")}
     assert {n.removeprefix("version=") for n, _ in tables.log("api_call").data.list()} == named
 
@@ -138,6 +147,7 @@ def test_replaced_runs_of_a_version_go(spark):
 
 
 def test_a_retried_append_comes_once_and_reads_no_other_part(spark, monkeypatch):
+    monkeypatch.setattr(module, "FEW", 8)
     tables = fresh(spark)
     for n in range(5):
         tables.append_api_calls(calls(spark, range(10 * n, 10 * n + 10)))
@@ -222,10 +232,10 @@ def test_rebuilt_ranges_replace_what_they_had(spark):
 
 def test_two_compactions_at_a_time_count_once(spark):
     tables = fresh(spark)
-    for n in range(4):
+    for n in range(2):
         tables.append_api_calls(calls(spark, [n]))
     old = list(tables.parts("api_call"))
     for _ in range(2):  # both have read the same parts
         version = tables._write("api_call", tables._rows("api_call", old, None))
         tables._exchange("api_call", old, [tables._measured("api_call", version, "id")])
-    assert ids(tables) == [0, 1, 2, 3]
+    assert ids(tables) == [0, 1]
