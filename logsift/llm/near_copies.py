@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 # Bits that fingerprints of candidates may differ in.
 TAU = 3
+# From one class of sizes to the next.
+CLASS_STEP = 1.05
 SEED = 42
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,11 +133,56 @@ def _by_fingerprints(docs: DataFrame, nodes: DataFrame, shingle: int, id_column:
     return named.join(firsts.filter("many > 1"), "label_fp").select("node", "size", "head")
 
 
+def _open_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): every pair of nodes with different labels that may have the similarity, and few others.
+
+    A prefix filter. The shingles of a node are put in one order for all, rarest first. Two sets of sizes
+    a and b need at least similarity / (1 + similarity) * (a + b) shared shingles; so the first one they share
+    stands, in both, among those before which fewer are left out than may be missing. What the pages of a template
+    have in common comes late in that order, so pages that are less alike don't meet, however many there are.
+    Nodes meet by such a shingle and the class of the smaller one's size, since the shares depend on both sizes.
+    """
+    tokens = nodes.join(sets, "node").select("node", "size", "label", F.explode("found").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("many"))
+    ordered = tokens.join(often, "token").groupBy("node", "size", "label").agg(
+        F.array_sort(F.collect_list(F.struct("many", "token"))).alias("found")
+    )
+    share = similarity / (1 + similarity)
+
+    def missing(own, other):
+        """How many shingles of a set of size own may be missing in one of size other."""
+        return own - F.ceil(F.lit(share) * (own + other) - 1e-9)
+
+    def size_class(size):
+        return F.floor(F.log(size) / F.log(F.lit(CLASS_STEP)) + 1e-9)
+
+    size, most = F.col("size"), F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
+    ordered = ordered.withColumn("found", F.slice("found", 1, (most + 1).cast("int")))
+    # a shingle of one node alone keeps its place and meets nobody
+    placed = ordered.select("node", "size", "label", F.posexplode("found").alias("place", "one")).filter("one.many > 1")
+    placed = written(placed.select("node", "size", "label", "place", F.col("one.token").alias("token")), "near-prefixes")
+    smaller = placed.filter(F.col("place") <= missing(size, size)).withColumn("class", size_class(size))
+    least = F.lit(similarity) * size - 1e-9
+    classes = F.sequence(size_class(F.greatest(least, F.lit(1.0))), size_class(size))
+    begin = F.greatest(least, F.pow(F.lit(CLASS_STEP), F.col("class")) * (1 - 1e-6))
+    larger = placed.withColumn("class", F.explode(classes)).filter(F.col("place") <= missing(size, begin))
+    a, b = smaller.alias("a"), larger.alias("b")
+    met = a.join(b, ["token", "class"]).filter(
+        (F.col("a.label") != F.col("b.label"))
+        & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") < F.col("b.node"))))
+        & (F.col("a.size") >= F.lit(similarity) * F.col("b.size") - 1e-9)
+        & (F.col("a.place") <= missing(F.col("a.size"), F.col("b.size")))
+        & (F.col("b.place") <= missing(F.col("b.size"), F.col("a.size")))
+    )
+    return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
     """(u, v): links that connect whatever verified pairs of candidates connect.
 
     In a first round every node of a class of fingerprints and of a band meets the first one there; large
-    groups of copies are connected by that. In a second all nodes of a band meet that are not connected yet.
+    groups of copies are connected by that. In a second the nodes of all bands that still hold unconnected ones
+    meet by the rare shingles they share (_open_pairs), in whatever band.
     """
     nodes = found.filter("size > 0").groupBy("s1", "s2").agg(
         F.min(F.struct("k1", "k2")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")
@@ -163,15 +210,9 @@ def links(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, id
     named = named.withColumn("head_label", F.coalesce("head_label", "head.node"))
     named = written(named.select("band", "node", "size", "label", "head_label"), "near-named")
     # of two nodes that are not connected one at least is not connected with the first of the band
-    apart = named.filter("label <> head_label").select(
-        "band", F.col("node").alias("n"), F.col("size").alias("s"), F.col("label").alias("l")
-    )
-    rest = (
-        apart.join(named, "band")
-        .filter((F.col("l") != F.col("label")) & alike("s", "size"))
-        .select(F.least("n", "node").alias("u"), F.greatest("n", "node").alias("v"))
-        .distinct()
-    )
+    divided = named.filter("label <> head_label").select("band").distinct()
+    open_nodes = named.join(divided, "band", "left_semi").select("node", "size", "label").distinct()
+    rest = written(_open_pairs(written(open_nodes, "near-open"), sets, similarity), "near-rest")
     return first.select("u", "v").union(_verified(rest, sets, similarity).select("u", "v"))
 
 
