@@ -11,7 +11,7 @@ import json
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -224,23 +224,58 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+FIRST_SEEN = "service_name string, logger string, template_text string, first_ns bigint, template_hash string, batch_id bigint"
+
+
+def first_seen(spark: SparkSession, path: str) -> DataFrame:
+    """All templates a stream of new ones has given out, with the micro-batch of each."""
+    if not Folder(spark, path).list():
+        return spark.createDataFrame([], FIRST_SEEN)
+    return spark.read.schema(FIRST_SEEN).parquet(path)
+
+
 def stream_new_templates(
-    lines: DataFrame, path: str, checkpoint: str
+    lines: DataFrame, path: str, checkpoint: str, period: str = "1 day", clock: Column | None = None
 ) -> StreamingQuery:
     """Give out a template in the first micro-batch it is seen in, and never again.
 
-    What is known is state on disk, one small row for each template; nothing that was given out is
-    read again. A template is new if the micro-batch it was first met in is the one it was last met
-    in; a replayed batch has the time of its first attempt.
+    The state says which templates the current period has met, one small row for each, and is given up
+    when the period is over. Templates that a period meets for the first time are looked up in what earlier
+    micro-batches have given out; a batch without any reads nothing of it. A replayed batch has the time
+    of its first attempt and doesn't look at its own table, so it gives out the same again.
+
+    The clock tells the period; it is the time of arrival, so no line is ever late. With a clock of another
+    kind lines of a period that is over are not seen.
     """
     met = templated(tag_buckets(lines)).withColumn("met", F.current_timestamp())
-    seen = met.groupBy(*IDENTITY).agg(
+    timed = met.withColumn("clock", F.col("met") if clock is None else clock).withWatermark("clock", "0 seconds")
+    seen = timed.groupBy(F.window("clock", period).alias("period"), *IDENTITY).agg(
         F.min("ts_ns").alias("first_ns"), F.min("met").alias("first_met"), F.max("met").alias("last_met")
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        new = batch.filter("first_met = last_met").drop("first_met", "last_met")
-        _write_batch(path)(with_hash(new), batch_id)
-
-    query = _file_query(lines.sparkSession, seen, checkpoint).outputMode("update")
-    return query.foreachBatch(write_batch).start()
+        spark = batch.sparkSession
+        fresh = batch.filter("first_met = last_met").groupBy(*IDENTITY).agg(F.min("first_ns").alias("first_ns"))
+        fresh = with_hash(fresh).persist()
+        try:
+            if not fresh.isEmpty():
+                known = first_seen(spark, path).filter(F.col("batch_id") < batch_id).select("template_hash")
+                _write_batch(path)(fresh.join(known, "template_hash", "left_anti"), batch_id)
+        finally:
+            fresh.unpersist()
+
+    # state is given up with the next lines; no micro-batch without lines is run for it
+    conf, option = lines.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(option)
+    conf.set(option, "false")
+    try:
+        query = _file_query(lines.sparkSession, seen, checkpoint).outputMode("update")
+        return query.foreachBatch(write_batch).start()
+    finally:
+        conf.set(option, before)
+
+
+def compact_first_seen(spark: SparkSession, path: str, into: str) -> None:
+    """What was given out so far as one table, to start a new folder from when micro-batches have piled up."""
+    rows = first_seen(spark, path).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    rows.write.partitionBy("batch_id").parquet(into)

@@ -133,6 +133,46 @@ def test_a_template_is_new_only_once(spark):
     assert len(run()) == 2
 
 
+def test_first_sightings_keep_the_state_of_one_period(spark):
+    root = fresh_folder(spark, "test")
+    sizes, day = [], 24
+    words = [f"{a}{b}" for a in ("disk", "fan", "port", "pump", "belt") for b in "abcdefgh"]
+    for period in range(8):
+        # five kinds of every period are new, the others were met long ago or in the period before
+        kinds = words[5 * period : 5 * period + 5] + words[: 5 * min(period, 1)] + words[5 * max(period - 1, 0) : 5 * period]
+        add(spark, f"{root}/in", [line(period * day + i % day, f"{k} failed") for i, k in enumerate(kinds)])
+        add(spark, f"{root}/in", [line(period * day + 23, f"{k} failed", 5) for k in kinds])
+        query = jobs.stream_new_templates(
+            source(spark, f"{root}/in"), f"{root}/out", f"{root}/state", clock=jobs.ns_to_timestamp("ts_ns")
+        )
+        query.awaitTermination()
+        sizes += [int(s["numRowsTotal"]) for p in query.recentProgress for s in p["stateOperators"]]
+    found = jobs.first_seen(spark, f"{root}/out")
+    assert sorted(json.loads(r["template_text"])["event"] for r in found.collect()) == sorted(f"{w} failed" for w in words)
+    assert max(sizes) <= 2 * 15 < len(words)
+
+    # from one table the stream goes on as from many
+    jobs.compact_first_seen(spark, f"{root}/out", f"{root}/compact")
+    add(spark, f"{root}/next", [line(300, f"{words[3]} failed"), line(300, "valve stuck")])
+    jobs.stream_new_templates(source(spark, f"{root}/next"), f"{root}/compact", f"{root}/other").awaitTermination()
+    after = jobs.first_seen(spark, f"{root}/compact")
+    assert after.count() == len(words) + 1
+    assert [json.loads(r["template_text"])["event"] for r in after.filter("batch_id >= 0").collect()] == ["valve stuck"]
+
+
+def test_first_sightings_survive_a_replay(spark):
+    root = fresh_folder(spark, "test")
+    add(spark, f"{root}/in", [line(1, "disk 1 failed"), line(2, "fan 2 failed")])
+
+    def run(state):
+        jobs.stream_new_templates(source(spark, f"{root}/in"), f"{root}/out", f"{root}/{state}").awaitTermination()
+        return sorted((r["batch_id"], r["template_hash"], r["first_ns"]) for r in jobs.first_seen(spark, f"{root}/out").collect())
+
+    assert jobs.first_seen(spark, f"{root}/out").isEmpty()
+    once = run("state")
+    assert len(once) == 2 and run("lost_state") == once
+
+
 def test_hot_template_in_one_run(spark):
     """A third of the lines share one template; samples and counts match a plain computation."""
     from logsift.operators.templates import occurrences
@@ -157,3 +197,51 @@ def test_hot_template_in_one_run(spark):
             expected.append(text)
     assert hot["exemplar_lines"] == expected[:3]
     assert sum(r["count"] for r in found.values()) == 90_000
+
+
+def test_what_is_shuffled_for_samples_does_not_grow_with_the_lines(spark):
+    from logsift.operators.templates import occurrences
+
+    def shuffled(lines_of_template):
+        lines = spark.range(0, 4 * lines_of_template, numPartitions=4).select(
+            F.lit(1).cast("bigint").alias("run_id"),
+            F.lit(0).alias("bucket_ord"),
+            F.lit("s").alias("service_name"),
+            F.lit("").alias("logger"),
+            F.concat(F.lit("kind "), (F.col("id") % 4).cast("string")).alias("template_text"),
+            F.col("id").alias("ts_ns"),
+            # every line is said at two times, which lie in different slices for most
+            F.concat(F.lit("line "), (F.col("id") % (2 * lines_of_template)).cast("string")).alias("line"),
+        )
+        found = occurrences(lines)
+        rows = found.collect()
+        last = 4 * lines_of_template
+        for r in rows:
+            kind = int(r["template_text"].split()[1])
+            newest = [last - 4 + kind - 4 * i for i in range(3)]
+            assert r["exemplar_lines"] == [f"line {t % (2 * lines_of_template)}" for t in newest]
+            assert r["count"] == lines_of_template
+        return _exchanged_rows(found)
+
+    few, many = shuffled(2_000), shuffled(20_000)
+    # the lines are dealt once; after that the slices of four templates come together
+    assert few == [8_000, 4 * 8] and many == [80_000, 4 * 8]
+
+
+def _exchanged_rows(df):
+    """Rows that each shuffle of an executed query has written, the input's first."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() in ("AdaptiveSparkPlan",):
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
