@@ -17,6 +17,11 @@ HOUR_NS = 3_600_000_000_000
 # larger than any time in nanoseconds
 ORDER_STEP = "10000000000000000000"
 
+# Hours of run windows that are sent to every task: some 40 bytes each, 4 MB at most.
+BROADCAST_ROWS = 100_000
+# Cells for each shuffle partition where the lines of the hours are divided.
+CELLS_OF_PARTITION = 8
+
 
 def ns_to_timestamp(column: str) -> Column:
     """Nanoseconds to Spark's microseconds; comparisons stay in nanoseconds where they can."""
@@ -33,22 +38,58 @@ def _floor_div(column: str, unit: int) -> Column:
     return F.expr(f"({column} - pmod({column}, {unit}L)) div {unit}L")
 
 
-def lines_of_runs(lines: DataFrame, runs: DataFrame) -> DataFrame:
+def _hours(lines: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines with their hour, and (hour, run, bounds) of every hour of the runs' windows."""
+    spans = runs.select(
+        F.col("id").alias("run_id"),
+        (F.unix_micros("window_start") * 1000).alias("_start"),
+        (F.unix_micros("window_end") * 1000).alias("_end"),
+    ).filter("_start < _end")
+    hours = F.sequence(_floor_div("_start", HOUR_NS), _floor_div("(_end - 1)", HOUR_NS))
+    listed = spans.withColumn("_hour", F.explode(hours))
+    return lines.withColumn("_hour", _floor_div("ts_ns", HOUR_NS)), listed
+
+
+def full_hours(lines: DataFrame, cells: int) -> dict[int, int]:
+    """The hours with more lines than a cell should hold, and how many cells each is divided into.
+
+    A cell should hold the lines of all over ``cells``. So fewer hours than cells are full, and they
+    have fewer than twice as many cells together, however many lines and hours there are.
+    """
+    counts = lines.groupBy(_floor_div("ts_ns", HOUR_NS).alias("hour")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = max(1, -(-total // cells))
+    return {r["hour"]: -(-r["n"] // size) for r in counts.filter(F.col("n") > size).collect()}
+
+
+def _in_cells(timed: DataFrame, listed: DataFrame, divided: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cell of their hour: a line is in one of them, a run in all."""
+    cells = F.lit(1).cast("bigint")
+    if divided:
+        pairs = [F.lit(x).cast("bigint") for pair in divided.items() for x in pair]
+        cells = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_hour")), cells)
+    of_line = F.pmod(F.xxhash64("ts_ns", "line"), cells)
+    every = F.sequence(F.lit(0).cast("bigint"), cells - 1)
+    return timed.withColumn("_cell", of_line), listed.withColumn("_cell", F.explode(every))
+
+
+def lines_of_runs(lines: DataFrame, runs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per (line, run whose window holds it), start included and end excluded.
 
     Every run counts with its own window from the run table, whenever it started; windows may
     overlap or leave gaps. A run is listed under each hour of its window and met by the lines of
     that hour, so the join is one on equal keys; the bounds are checked to the nanosecond after it.
+    As many listed hours as ``broadcast_rows`` are sent to the lines, which then stay where they are.
+    With more of them both sides are shuffled; hours are divided into cells by their measured numbers
+    of lines, so that one hour with most of the lines is spread like many.
     """
-    spans = runs.select(
-        F.col("id").alias("run_id"),
-        (F.unix_micros("window_start") * 1000).alias("_start"),
-        (F.unix_micros("window_end") * 1000).alias("_end"),
-    ).filter("_start < _end")
-    spans = spans.withColumn("_last", F.col("_end") - 1)
-    hours = F.sequence(_floor_div("_start", HOUR_NS), _floor_div("_last", HOUR_NS))
-    listed = spans.withColumn("_hour", F.explode(hours)).drop("_last")
-    met = lines.withColumn("_hour", _floor_div("ts_ns", HOUR_NS)).join(listed, "_hour")
+    timed, listed = _hours(lines, runs)
+    if listed.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        met = timed.join(F.broadcast(listed), "_hour")
+    else:
+        partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        timed, listed = _in_cells(timed, listed, full_hours(lines, CELLS_OF_PARTITION * partitions))
+        met = timed.join(listed.hint("shuffle_hash"), ["_hour", "_cell"]).drop("_cell")
     return met.filter("ts_ns >= _start and ts_ns < _end").drop("_hour", "_start", "_end")
 
 
@@ -150,22 +191,34 @@ def exemplar_lines(
     )
 
 
+def in_slices(lines: DataFrame) -> DataFrame:
+    """Lines dealt evenly over the shuffle partitions; the slice is the partition a line is in.
+
+    Lines are dealt by time and text, so neither a template nor a line that is repeated at many times
+    ends up in one slice. What is grouped by the slice as well needs no further shuffle.
+    """
+    slices = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.withColumn("slice", F.pmod(F.xxhash64("ts_ns", "line"), F.lit(slices)).cast("int"))
+    return dealt.repartitionById(slices, F.col("slice"))
+
+
 def occurrences(lines: DataFrame, exemplars: int = DEFAULT_EXEMPLARS) -> DataFrame:
     """What a run records: one row per template with count, times and sample lines.
 
-    The distinct lines of a template are split into slices by line, as many as there are shuffle
-    partitions. Each slice is counted and gives up its first few lines, then the slices of a
-    template are put together. The input is read once, nothing is joined, and no task sees all
-    lines of a hot template.
+    Lines come in slices (in_slices); if they don't they are dealt here. Each task counts its slice of
+    every template and gives up its first few distinct lines, so what is shuffled to put the slices of
+    a template together is a few lines from each, however many lines a template has. A line can
+    be among the first of several slices; its first place counts, which is its place among all. The input
+    is read once, nothing is joined, and no task sees all lines of a hot template.
     """
+    if "slice" not in lines.columns:
+        lines = in_slices(lines)
     keep = max(exemplars, 1)
-    slices_of_template = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     template = ["run_id", *IDENTITY]
     in_slice = Window.partitionBy(*template, "slice").orderBy("met", "line")
     first_few = F.when(F.col("place") <= keep, F.struct("met", "line"))
     slices = (
-        _line_groups(lines, ("run_id",))
-        .withColumn("slice", F.pmod(F.xxhash64("line"), F.lit(slices_of_template)))
+        _line_groups(lines, ("run_id", "slice"))
         .withColumn("place", F.row_number().over(in_slice))
         .groupBy(*template, "slice")
         .agg(
@@ -181,8 +234,8 @@ def occurrences(lines: DataFrame, exemplars: int = DEFAULT_EXEMPLARS) -> DataFra
         F.max("last_ns").alias("last_ns"),
         F.sort_array(F.flatten(F.collect_list("samples"))).alias("samples"),
     )
-    lines_only = F.transform(F.slice("samples", 1, keep), lambda sample: sample["line"])
-    return with_hash(whole.withColumn("exemplar_lines", lines_only).drop("samples"))
+    in_order = F.array_distinct(F.transform("samples", lambda sample: sample["line"]))
+    return with_hash(whole.withColumn("exemplar_lines", F.slice(in_order, 1, keep)).drop("samples"))
 
 
 def placeholder_counts(templates: DataFrame) -> DataFrame:

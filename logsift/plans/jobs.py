@@ -26,11 +26,11 @@ def run_occurrences(
     """The occurrence rows of all runs.
 
     Bucket entries are little data but much work per byte. Spark would merge them into few tasks
-    by size, so they are given a fixed number of partitions before they are masked.
+    by size, so they are dealt over a fixed number of partitions before they are masked; the
+    lines are not shuffled again after that.
     """
-    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = entries.repartition(partitions, "run_id", "ts_ns", "line")
-    counted = templates.occurrences(normalize_lines(add_logger(spread)), exemplars)
+    sliced = templates.in_slices(entries)
+    counted = templates.occurrences(normalize_lines(add_logger(sliced)), exemplars)
     windows = runs.select(F.col("id").alias("run_id"), "window_start", "window_end")
     return counted.join(windows, "run_id").select(
         "template_hash",

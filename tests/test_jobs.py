@@ -74,6 +74,38 @@ def test_lines_meet_the_windows_of_the_run_table(spark):
     assert got == {(r, m) for r, (a, b) in spans.items() for m in range(0, 1500, 5) if a <= m < b}
 
 
+def test_an_hour_with_most_of_the_lines_is_divided(spark):
+    runs = run_rows(spark, (4, 0.25, 5.5), (9, 2.5, 9), (7, 20, 21))
+    start = ns(MIDNIGHT)
+    crowded = F.lit(start + 3 * 3600 * 10**9) + F.col("id") % 1000
+    elsewhere = F.lit(start) + F.col("id") * 2 * 10**9
+    lines = spark.range(0, 40_000, numPartitions=4).select(
+        F.when(F.col("id") % 20 == 0, elsewhere).otherwise(crowded).alias("ts_ns"),
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"),
+    )
+    few = templates.lines_of_runs(lines, runs)
+    many = templates.lines_of_runs(lines, runs, broadcast_rows=0)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+
+    def rows(df):
+        return sorted((r["run_id"], r["ts_ns"], r["line"]) for r in df.collect())
+
+    assert rows(few) == rows(many) and many.columns == few.columns
+    # no cell is large, and there are few of them
+    divided = templates.full_hours(lines, 64)
+    assert list(divided) == [(start // 10**9 // 3600) + 3] and 60 <= sum(divided.values()) <= 64
+    timed, listed = templates._in_cells(*templates._hours(lines, runs), divided)
+    cells = sorted(r["count"] for r in timed.groupBy("_hour", "_cell").count().collect())
+    assert cells[-1] <= 2 * 40_000 / 64
+    assert listed.filter("run_id = 9").count() == 6 + divided[list(divided)[0]]
+    # the tasks of the join, each with the keys Spark deals it
+    tasks = timed.repartition(8, "_hour", "_cell").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in tasks)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+    empty = templates.lines_of_runs(lines.filter("false"), runs, broadcast_rows=0)
+    assert empty.count() == 0
+
+
 def test_a_single_run_counts_its_own_window(spark):
     lines = log(spark, (1, "disk 1 lost"), (2, "disk 2 lost"), (3, "fan 3 lost"), (26, "disk 4 lost"), (40, "fan 9 lost"))
     tables = fresh(spark)
