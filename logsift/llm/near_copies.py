@@ -9,7 +9,9 @@ is then computed from their whole sets of shingles, and only pairs that reach it
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,9 @@ BANDS, ROWS = 24, 5
 TAU = 3
 # From one class of sizes to the next.
 CLASS_STEP = 1.05
+# A sketch has 64 bits a word; a shingle flips the bit that its lowest bits name.
+SKETCH_WORDS = 16
+_FLIPPED = f"if((token >> 6) & {SKETCH_WORDS - 1} = {{word}}, 1L << cast(token & 63 as int), 0L)"
 SEED = 42
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,11 +146,14 @@ def _open_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     stands, in both, among those before which fewer are left out than may be missing. What the pages of a template
     have in common comes late in that order, so pages that are less alike don't meet, however many there are.
     Nodes meet by such a shingle and the class of the smaller one's size, since the shares depend on both sizes.
+    Those that meet are compared by sketches first: bits that each shingle flips. Sets differ in no fewer shingles
+    than their sketches in bits, so no pair is lost.
     """
     tokens = nodes.join(sets, "node").select("node", "size", "label", F.explode("found").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("many"))
     ordered = tokens.join(often, "token").groupBy("node", "size", "label").agg(
-        F.array_sort(F.collect_list(F.struct("many", "token"))).alias("found")
+        F.array_sort(F.collect_list(F.struct("many", "token"))).alias("found"),
+        F.array(*[F.bit_xor(F.expr(_FLIPPED.format(word=w))) for w in range(SKETCH_WORDS)]).alias("sketch"),
     )
     share = similarity / (1 + similarity)
 
@@ -159,20 +167,23 @@ def _open_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     size, most = F.col("size"), F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
     ordered = ordered.withColumn("found", F.slice("found", 1, (most + 1).cast("int")))
     # a shingle of one node alone keeps its place and meets nobody
-    placed = ordered.select("node", "size", "label", F.posexplode("found").alias("place", "one")).filter("one.many > 1")
-    placed = written(placed.select("node", "size", "label", "place", F.col("one.token").alias("token")), "near-prefixes")
+    placed = ordered.select("node", "size", "label", "sketch", F.posexplode("found").alias("place", "one")).filter("one.many > 1")
+    placed = written(placed.select("node", "size", "label", "sketch", "place", F.col("one.token").alias("token")), "near-prefixes")
     smaller = placed.filter(F.col("place") <= missing(size, size)).withColumn("class", size_class(size))
     least = F.lit(similarity) * size - 1e-9
     classes = F.sequence(size_class(F.greatest(least, F.lit(1.0))), size_class(size))
     begin = F.greatest(least, F.pow(F.lit(CLASS_STEP), F.col("class")) * (1 - 1e-6))
     larger = placed.withColumn("class", F.explode(classes)).filter(F.col("place") <= missing(size, begin))
     a, b = smaller.alias("a"), larger.alias("b")
+    flips = [F.bit_count(F.col("a.sketch")[w].bitwiseXOR(F.col("b.sketch")[w])) for w in range(SKETCH_WORDS)]
+    apart = missing(F.col("a.size"), F.col("b.size")) + missing(F.col("b.size"), F.col("a.size"))
     met = a.join(b, ["token", "class"]).filter(
         (F.col("a.label") != F.col("b.label"))
         & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") < F.col("b.node"))))
         & (F.col("a.size") >= F.lit(similarity) * F.col("b.size") - 1e-9)
         & (F.col("a.place") <= missing(F.col("a.size"), F.col("b.size")))
         & (F.col("b.place") <= missing(F.col("b.size"), F.col("a.size")))
+        & (reduce(operator.add, flips) <= apart)
     )
     return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
