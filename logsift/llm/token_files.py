@@ -4,14 +4,16 @@ Documents are ordered by id and dealt into shards, one task each. A shard is a r
 block is one row of a Parquet table, with the ids of its documents and a payload in this format
 (little-endian):
 
-    magic "RPG1", u32 first nonterminal, u32 rules, u32 documents, u32 symbols, u8 symbol bytes
+    magic "RPG2", u32 first nonterminal, u32 rules, u32 documents, u32 symbols, u8 symbol bits
     rules x 2 symbols      what each nonterminal stands for, by ascending id
     rules x u32            how many ids each expands to
     (documents + 1) x u32  where each document's symbols begin, and the end
     symbols                the documents, one after the other
 
-Frequent pairs are replaced in rounds: in each the most frequent pairs of the block get
-nonterminals, and where two occurrences overlap the more frequent pair wins, then the left one.
+Symbols are written as their lower 16 bits, then the higher bits one by one, eight symbols a byte.
+
+Frequent pairs are replaced in rounds, until no pair occurs twice: in each the pairs at least an
+eighth as frequent as the most frequent one get nonterminals, and where two overlap the more frequent wins.
 Pairs never reach over the end of a document.
 """
 
@@ -34,14 +36,13 @@ from pyspark.sql import types as T
 from logsift.llm.common import distinct_words, gathered, give_back_memory, row_keys, small_batches
 from logsift.session import fresh_folder
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 HEAD = "<4s4IB"
 END_ID = 2  # fixed by the contract
 # A block closes when it holds this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-ROUNDS = 3
-PAIRS_PER_ROUND = 4096
-LEAST_COUNT = 6
+# A round replaces the pairs that occur at least one STEPth as often as the most frequent one.
+STEP = 8
 # A task forgets the words it has encoded when it holds this many.
 REMEMBERED = 250_000
 # A word that ends in ASCII punctuation after a letter; an apostrophe may belong to the letters.
@@ -170,116 +171,135 @@ class WordEncoder:
 # --- grammar -------------------------------------------------------------------------------------
 
 
-def _frequent(pairs: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent pair codes, most frequent first, ties to the smaller code."""
-    ordered = np.sort(pairs)
-    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.append(heads, ordered.size))
-    often = np.flatnonzero(counts >= LEAST_COUNT)
-    chosen = often[np.argsort(-counts[often], kind="stable")][:most]
-    return ordered[heads[chosen]]
-
+def _every_other(at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which of the places at count: every other one of a run of one symbol, where pairs overlap."""
+    again = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (pairs[1:] == pairs[:-1])])
+    if not again.any():
+        return ~again
+    here = np.arange(at.size)
+    return (here - np.maximum.accumulate(np.where(again, 0, here))) % 2 == 0
 
-def _priority(pairs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The place of each pair among the chosen, or their number if it isn't one.
 
-    Looked up by a hash of 2**16 slots; where two chosen pairs share one the more frequent gets it,
-    the other waits for the next round.
-    """
-    golden = np.uint64(0x9E3779B97F4A7C15)
+def _sorted(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs in order, and the place each had."""
+    low = max(int(pairs.size).bit_length(), 1)
+    if 2 * bits + low > 63:
+        order = np.argsort(pairs, kind="stable")
+        return pairs[order], order
+    both = np.sort(pairs << low | np.arange(pairs.size))  # faster than sorting places
+    return both >> low, both & ((1 << low) - 1)
 
-    def slot(codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * golden) >> np.uint64(48)).astype(np.int64)
 
-    slots = np.full(1 << 16, chosen.size, dtype=np.int64)
-    slots[slot(chosen)[::-1]] = np.arange(chosen.size)[::-1]
-    place = slots[slot(pairs)]
-    right = np.append(chosen, 0)[place] == pairs
-    return np.where(right, place, chosen.size)
+def _grammar(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, sizes of the rules, symbols, where each document begins): no pair is left twice.
 
-
-def compress(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> bytes:
-    """The payload of a block: ids of all documents in a row, and the length of each."""
+    A pair that occurs once only is looked at again when a new symbol comes next to it, since it
+    can't become more frequent; so later rounds look at few places.
+    """
     sym = ids.astype(np.int64)
     doc = np.repeat(np.arange(lengths.size), lengths)
-    wide = 1 << 16
-    room = wide - vocabulary if vocabulary < wide else 1 << 30
-    rules: list[np.ndarray] = []
-    count = 0
-    for _ in range(ROUNDS):
-        if sym.size < 2 or count >= room:
-            break
-        pairs = (sym[:-1] << 31) | sym[1:] if vocabulary >= wide else (sym[:-1] << 16 | sym[1:]).astype(np.uint32)
-        inside = doc[1:] == doc[:-1]
-        chosen = _frequent(pairs[inside], min(PAIRS_PER_ROUND, room - count))
-        if not chosen.size:
+    live = np.append(doc[1:] == doc[:-1], False)[: sym.size]
+    bits = int(vocabulary + ids.size).bit_length()  # there are fewer rules than ids
+    rules, sizes, count = [np.zeros((0, 2), dtype=np.int64)], np.ones(vocabulary, dtype=np.int64), 0
+    while (at := np.flatnonzero(live)).size:
+        pairs = (sym[at] << bits) | sym[at + 1]
+        counted = _every_other(at, pairs)
+        ordered, order = _sorted(pairs, bits)
+        at, counted = at[order], counted[order]
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        group = np.cumsum(first) - 1
+        counts = np.bincount(group, weights=counted).astype(np.int64)
+        live[at] = (counts >= 2)[group]
+        by_count = np.argsort(-counts, kind="stable")  # ties to the smaller code
+        most = int(counts[by_count[0]])
+        chosen = by_count[: np.searchsorted(-counts[by_count], -max(2, most // STEP), side="right")]
+        if most < 2:
             break
-        place = _priority(pairs, chosen)
-        place[~inside] = chosen.size
-        around = np.concatenate([[chosen.size], place, [chosen.size]])
-        at = np.flatnonzero((place < chosen.size) & (place < around[:-2]) & (place <= around[2:]))
-        if not at.size:
-            break
-        used, new = np.unique(place[at], return_inverse=True)
-        codes = chosen[used].astype(np.int64)
-        shift = 31 if vocabulary >= wide else 16
-        rules.append(np.stack([codes >> shift, codes & ((1 << shift) - 1)], axis=1))
-        sym[at] = vocabulary + count + new
+        rank = np.full(counts.size, counts.size)
+        rank[chosen] = np.arange(chosen.size)
+        mine = counted & (rank[group] < counts.size)
+        at, group = at[mine], group[mine]
+        place = np.full(sym.size + 2, counts.size)  # the place at i is held at i + 1
+        place[at + 1] = rank[group]
+        wins = (place[at + 1] < place[at]) & (place[at + 1] < place[at + 2])
+        at, group = at[wins], group[wins]
+        pays = np.bincount(group, minlength=counts.size) >= 2
+        at, group = at[pays[group]], group[pays[group]]
+        used = chosen[pays[chosen]]  # the most frequent pair always is
+        rank[used] = np.arange(used.size)
+        codes = ordered[first][used]
+        new = np.stack([codes >> bits, codes & ((1 << bits) - 1)], axis=1)
+        rules.append(new)
+        sizes = np.append(sizes, sizes[new].sum(axis=1))
+        sym[at] = vocabulary + count + rank[group]
         count += used.size
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         stay = np.ones(sym.size, dtype=bool)
         stay[at + 1] = False
-        sym, doc = sym[stay], doc[stay]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
-    kind = np.dtype("<u2") if vocabulary + count <= wide else np.dtype("<u4")
+        sym, doc, live = sym[stay], doc[stay], live[stay]
+        live &= np.append(doc[1:] == doc[:-1], False)
     starts = np.searchsorted(doc, np.arange(lengths.size + 1))
-    head = struct.pack(HEAD, MAGIC, vocabulary, count, lengths.size, sym.size, kind.itemsize)
-    sizes = np.ones(vocabulary + count, dtype=np.int64)
-    for i, (left, right) in enumerate(table.tolist()):
-        sizes[vocabulary + i] = sizes[left] + sizes[right]
-    parts = [table.astype(kind), sizes[vocabulary:].astype("<u4"), starts.astype("<u4"), sym.astype(kind)]
-    return head + b"".join(p.tobytes() for p in parts)
+    return np.concatenate(rules), sizes[vocabulary:], sym, starts
+
+
+def _packed(symbols: np.ndarray, bits: int) -> bytes:
+    """The lower 16 bits of all symbols, then each higher bit of all."""
+    planes = [np.packbits((symbols >> bit & 1).astype(np.uint8)) for bit in range(16, bits)]
+    return b"".join([(symbols & 0xFFFF).astype("<u2").tobytes(), *[p.tobytes() for p in planes]])
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> bytes:
+    """The payload of a block: ids of all documents in a row, and the length of each."""
+    rules, sizes, symbols, starts = _grammar(ids, lengths, vocabulary)
+    bits = max(16, int(vocabulary + len(rules)).bit_length())
+    head = struct.pack(HEAD, MAGIC, vocabulary, len(rules), lengths.size, symbols.size, bits)
+    numbers = [sizes.astype("<u4").tobytes(), starts.astype("<u4").tobytes()]
+    return b"".join([head, _packed(rules.reshape(-1), bits), *numbers, _packed(symbols, bits)])
 
 
 class Block:
     """A payload, opened: gives any document, or any part of one, without the others."""
 
     def __init__(self, payload: bytes):
-        magic, self.first, rules, self.documents, symbols, width = struct.unpack_from(HEAD, payload)
+        magic, self.first, rules, self.documents, symbols, bits = struct.unpack_from(HEAD, payload)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        kind, at = np.dtype(f"<u{width}"), struct.calcsize(HEAD)
+        at = struct.calcsize(HEAD)
 
-        def take(dtype: str | np.dtype, n: int) -> np.ndarray:
+        def take(dtype: str, n: int) -> np.ndarray:
             nonlocal at
             found = np.frombuffer(payload, dtype=dtype, count=n, offset=at)
             at += found.nbytes
-            return found.astype(np.int64)
-
-        self.rules = take(kind, 2 * rules).reshape(rules, 2)
-        self.sizes = np.append(np.ones(self.first, dtype=np.int64), take("<u4", rules))
-        self.starts = take("<u4", self.documents + 1)
-        self.symbols = take(kind, symbols)
-        self._expand()
-
-    def _expand(self) -> None:
-        """What every nonterminal stands for, one after the other."""
-        flat = self.rules.reshape(-1)
-        owner = np.repeat(np.arange(len(self.rules)), 2)
-        while flat.size and (flat >= self.first).any():
-            deep = flat >= self.first
-            width = np.where(deep, 2, 1)
-            place = np.cumsum(width) - width
-            grown = np.repeat(flat, width)
-            pairs = self.rules[flat[deep] - self.first]
-            grown[place[deep]], grown[place[deep] + 1] = pairs[:, 0], pairs[:, 1]
-            owner = np.repeat(owner, width)
-            flat = grown
-        self.flat = np.append(np.arange(self.first), flat)
-        begins = np.searchsorted(owner, np.arange(len(self.rules)))
-        self.begins = np.append(np.arange(self.first), self.first + begins)
-
-    def _ids(self, symbols: np.ndarray) -> np.ndarray:
-        return gathered(self.flat, self.begins, self.sizes, symbols)
+            return found
+
+        def unpacked(n: int) -> np.ndarray:
+            found = take("<u2", n).astype(np.int64)
+            for bit in range(16, bits):
+                found |= np.unpackbits(take("u1", -(-n // 8)), count=n).astype(np.int64) << bit
+            return found
+
+        self.rules = unpacked(2 * rules).reshape(rules, 2)
+        self.sizes = np.append(np.ones(self.first, dtype=np.int64), take("<u4", rules).astype(np.int64))
+        self.starts = take("<u4", self.documents + 1).astype(np.int64)
+        self.symbols = unpacked(symbols)
+
+    def _ids(self, symbols: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids start to stop of what the symbols stand for; a rule is opened only if it reaches into them."""
+        ends = np.cumsum(self.sizes[symbols])
+        stop = int(ends[-1]) if stop is None and ends.size else stop or 0
+        out = np.zeros(max(stop - start, 0), dtype=np.int64)
+        at = ends - self.sizes[symbols]
+        while symbols.size:
+            inside = (at < stop) & (at + self.sizes[symbols] > start)
+            symbols, at = symbols[inside], at[inside]
+            ready = symbols < self.first
+            out[at[ready] - start] = symbols[ready]
+            at = at[~ready]
+            pairs = self.rules[symbols[~ready] - self.first]
+            symbols = pairs.reshape(-1)
+            at = np.stack([at, at + self.sizes[pairs[:, 0]]], axis=1).reshape(-1)
+        return out
 
     def document(self, i: int) -> np.ndarray:
         return self._ids(self.symbols[self.starts[i] : self.starts[i + 1]])
@@ -287,11 +307,7 @@ class Block:
     def part(self, i: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of a document; only the symbols that reach into them are expanded."""
         symbols = self.symbols[self.starts[i] : self.starts[i + 1]]
-        ends = np.cumsum(self.sizes[symbols])
-        low = int(np.searchsorted(ends, start, side="right"))
-        high = int(np.searchsorted(ends, stop, side="left")) + 1
-        before = int(ends[low - 1]) if low else 0
-        return self._ids(symbols[low:high])[start - before : max(start, stop) - before]
+        return self._ids(symbols, start, min(stop, int(self.sizes[symbols].sum())))
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each document ends in them."""

@@ -69,6 +69,26 @@ def test_grammar_round_trip_and_random_access(vocabulary):
             assert np.array_equal(block.part(i, start, stop), ids[start:stop])
 
 
+@pytest.mark.parametrize("vocabulary", [1000, 60_000])
+def test_grammar_leaves_no_pair_twice(vocabulary):
+    random = np.random.default_rng(8)
+    phrase = random.integers(0, 1000, 700)
+    docs = [phrase, np.tile(phrase[:50], 40), np.full(4097, 3), random.integers(0, 900, 60_000), phrase[::-1], phrase]
+    docs = [*docs, np.zeros(0, dtype=np.int64), random.integers(0, 30, 20_000)]
+    lengths = np.array([d.size for d in docs])
+    block = token_files.Block(token_files.compress(np.concatenate(docs), lengths, vocabulary))
+    seen = {}
+    for i, ids in enumerate(docs):
+        assert np.array_equal(block.document(i), ids)
+        assert np.array_equal(block.part(i, 3, 40), ids[3:40])
+        symbols = block.symbols[block.starts[i] : block.starts[i + 1]].tolist()
+        for k, pair in enumerate(zip(symbols, symbols[1:])):
+            place = (i, k)
+            before = seen.setdefault(pair, place)
+            assert before == place or before == (i, k - 1) and pair[0] == pair[1], pair  # in one run they overlap
+    assert np.array_equal(block.all()[0], np.concatenate(docs))
+
+
 def test_words_are_encoded_like_whole_texts():
     encoder = token_files.WordEncoder(WORDS)
     texts = ["", "a\tb\rc\x0bd\x0ce\xa0f g\x1ch", "it's o'k, don't... (ab'!), x.,y", "É, é.", "ΣΑΣ. İx"]
