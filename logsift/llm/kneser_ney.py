@@ -30,8 +30,6 @@ SYMBOLS = 64
 CODES = SYMBOLS**3
 # Costs are whole millionths of a nat, so that sums don't depend on their order.
 UNIT = word_model.UNIT
-# At most about this many labelled documents are trusted; beyond it a sample by hash of their ids.
-TRUSTED_BOUND = 2_000_000
 # A language needs this many held-out documents for limits of its own, and all together for any.
 LANGUAGE_DOCS = 4
 # One in so many trusted documents is held out. Their scores set the limits: a bound that QUANTILE of
@@ -145,8 +143,11 @@ def scorer(table: np.ndarray):
 # --- limits ----------------------------------------------------------------------------------------
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED_BOUND) -> DataFrame:
-    """Ids of documents labelled good and nothing else; at most about bound of them."""
+def trusted_ids(labels: DataFrame, bound: int | None = None) -> DataFrame:
+    """Ids of documents labelled good and nothing else: all of them, unless a caller bounds them.
+
+    With a bound more than that many are cut to about as many by a hash of their ids.
+    """
     good = (
         labels.filter("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -155,11 +156,12 @@ def trusted_ids(labels: DataFrame, bound: int = TRUSTED_BOUND) -> DataFrame:
         .select("doc_id")
     )
     ids = written(good, "trusted")
-    count = ids.count()
-    if count > bound:
-        share = int(1_000_000 * bound / count)
-        ids = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    return F.broadcast(ids)  # 8 bytes for each of at most about bound ids
+    if bound is not None:
+        count = ids.count()
+        if count > bound:
+            share = int(1_000_000 * bound / count)
+            ids = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    return ids
 
 
 def length_class(n: Column) -> Column:
@@ -185,7 +187,8 @@ def limits(scores: DataFrame) -> list[tuple[bool, str | None, int, float]]:
     A class of lengths with too few documents takes in those of the next shorter ones, whose scores
     vary more, then of longer ones. A language with too few documents at all takes the limit of all
     together where that is higher; the rows marked rest are of all together, for languages without any.
-    What comes to the driver is at most a row for each held-out document, which are bounded.
+    What comes to the driver are counts by language, length and score in steps of a thousandth: a cost
+    is some tens of nats at most, so they don't grow with the documents.
     """
     shown = scores.select("lang", length_class(F.col("n")).alias("length"), F.floor(F.col("score") * 1000).alias("score"))
     found: dict[tuple[bool, str | None], dict[int, dict[int, int]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(int)))
@@ -232,7 +235,7 @@ def judged(
     id_column: str = "doc_id",
     text_column: str = "text",
     lang_column: str = "lang",
-    bound: int = TRUSTED_BOUND,
+    bound: int | None = None,
 ) -> DataFrame:
     """(row, n_symbols, perplexity, score, limit, n_words, word_score, word_limit, keep) of every row of docs.
 

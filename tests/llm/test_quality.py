@@ -126,6 +126,11 @@ def test_trusted_sample_is_bounded(spark):
     assert 700 < kneser_ney.trusted_ids(labels, bound=1000).count() < 1300
 
 
+def test_all_trusted_documents_count(spark):
+    labels = spark.range(2_100_000).selectExpr("id as doc_id", "1 as quality")
+    assert kneser_ney.trusted_ids(labels).count() == 2_100_000
+
+
 def test_query_covers_the_table(spark, small):
     got = queries.op9_kneser_ney_quality(spark, small)
     assert got.count() == spark.read.parquet(f"{small}/documents.parquet").count()
