@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsift.functions.identity import add_logger, add_service
 from logsift.functions.masking import normalize_lines
 from logsift.operators import buckets, cost, findings, history, lifecycle, templates, triage
+from logsift.session import fresh_folder
 from logsift.sources import streams
 from logsift.sources.snapshots import DAY_SECONDS
 from logsift.sources.tables import Tables, hash_range
@@ -51,6 +52,14 @@ def _ids(runs: DataFrame) -> DataFrame:
     return runs.select(F.col("id").alias("run_id"))
 
 
+def _listed(tables: Tables, runs: DataFrame) -> DataFrame:
+    """The runs as a table of their own: they are met many times, and may be derived from a large table."""
+    path = fresh_folder(tables.spark, "runs")
+    rows = runs.select("id", "started_at", "window_start", "window_end")
+    rows.write.parquet(path)
+    return tables.spark.read.schema(rows.schema).parquet(path)
+
+
 def collect(
     tables: Tables, lines: DataFrame, runs: DataFrame, limits: dict[str, int] | None = None
 ) -> None:
@@ -61,6 +70,7 @@ def collect(
     it. Repeating a call changes nothing: if a run has been collected before, the ranges of hashes it
     had or has templates in are rebuilt from the occurrences instead of being added to.
     """
+    runs = _listed(tables, runs)
     tables.start_runs(runs)
     _collect(tables, run_entries(lines, runs), runs, limits)
 
@@ -74,6 +84,7 @@ def collect_buckets(
     read counts, and what could not is recorded for every run.
     """
     spark = tables.spark
+    runs = _listed(tables, runs)
     tables.start_runs(runs)
     covered = _ids(runs)
     losses = streams.bucket_losses(spark, paths).collect()  # a row a bucket
