@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.buckets import tag_buckets
 from logsift.operators.templates import aggregate_templates, templated
+from logsift.plans import registry
 from logsift.schemas import LOG_LINE
 from logsift.session import fresh_folder
 from logsift.streaming import jobs
@@ -115,6 +116,34 @@ def test_sliding_windows_add_up_their_panes(spark):
     assert all((r["window_end"] - r["window_start"]).total_seconds() == 86400 for r in rows)
 
 
+def sliding_query(spark, monkeypatch, *batches):
+    """{window: count} of the query over micro-batches of lines, windows as hours from START."""
+    root = fresh_folder(spark, "test")
+    for rows in batches:
+        add(spark, f"{root}/in", rows)
+    monkeypatch.setattr(registry, "_line_stream", lambda session, _: source(session, f"{root}/in"))
+    found = registry.q_stream_sliding_counts(spark, root).select(
+        (F.unix_micros("window_start") - START // 1000) / (HOUR // 1000), "count", F.expr("window_end - window_start")
+    )
+    rows = found.collect()
+    assert all(length.total_seconds() == 86400 for _, _, length in rows)
+    assert len({start for start, _, _ in rows}) == len(rows)
+    return {start: n for start, n, _ in rows}
+
+
+def test_the_sliding_query_looks_at_a_window_from_every_hour_on(spark, monkeypatch):
+    half, held = HOUR // 2, {start: 1 for start in range(-13, 14)}
+    found = sliding_query(spark, monkeypatch, [line(10, "request 1 failed", half), line(13, "request 2 failed", half)])
+    assert found == held | {start: 2 for start in range(-10, 11)}
+
+
+def test_the_sliding_query_counts_a_line_while_a_window_that_holds_it_is_open(spark, monkeypatch):
+    late = [line(8, "request 3 failed"), line(5, "request 4 failed")]
+    found = sliding_query(spark, monkeypatch, [line(30, "request 1 failed")], [line(30, "request 2 failed", 1)], late)
+    # the last window with the line of hour 8 ends at 32; that with the line of hour 5 ended at 29
+    assert found == {start: 2 * (start > 6) + (start < 9) for start in range(-15, 31)}
+
+
 def test_a_template_is_new_only_once(spark):
     root = fresh_folder(spark, "test")
 
